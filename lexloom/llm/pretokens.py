@@ -228,13 +228,13 @@ class BatchEncoder:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def blocks(texts: list[str | None], chars: int = BLOCK_CHARS):
-    """Runs of texts of about `chars` code points together; every text is in exactly one run."""
+def blocks(texts: list[str | None], chars: int = BLOCK_CHARS, most: int = 1 << 14):
+    """Runs of at most `most` texts, of about `chars` code points together; every text is in exactly one run."""
     block, size = [], 0
     for text in texts:
         block.append(text)
         size += len(text or "")
-        if size >= chars:
+        if size >= chars or len(block) >= most:
             yield block
             block, size = [], 0
     if block:

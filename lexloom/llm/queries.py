@@ -22,7 +22,20 @@ def _on_documents(module: str, function: str) -> Callable[[SparkSession, str], D
     return run
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    ship(spark)
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": _on_documents("fingerprints", "document_fingerprints"),
+    "op2_toxicity": _toxicity,
     "op4_token_counts": _on_documents("token_counts", "token_counts"),
+    "op6_language_id": _on_documents("language_id", "identify"),
+    "op7_bpe": _on_documents("bpe", "encode_decode"),
+    "op9_simhash": _on_documents("simhash", "near_duplicates"),
+    "op10_packing": _on_documents("packing", "pack"),
 }
 SQL: dict[str, str] = {}

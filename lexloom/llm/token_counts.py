@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path
 from .pretokens import PieceTable, blocks, splitter
 
-HEAD_DOCUMENTS = 2048
+HEAD_DOCUMENTS = 8192
 HEAD_ENTRIES = 1 << 18
 
 
