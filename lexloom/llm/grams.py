@@ -21,33 +21,33 @@ def _fold() -> np.ndarray:
     return table
 
 
-def letters(joined: str) -> np.ndarray:
-    """Folded code points of a text, 0 where there is no letter."""
-    return _fold()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
-
-
-def squeezed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(folded code points, owner of each, position in the joined texts); a blank (0) begins every text, and
-    each run of non-letters is one blank."""
+def squeezed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(folded code points, owner of each, its position, all code points as they are) of texts joined with a
+    blank before each. Each run of non-letters is one blank (0), and one begins every text."""
     joined = "".join(f" {t or ''}" for t in texts)
-    codes = letters(joined)
-    starts = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t or "") + 1 for t in texts], out=starts[1:])
+    raw = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    codes = _fold()[raw]
+    sizes = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
     keep = codes != 0
-    keep[1:] |= codes[:-1] != 0
-    keep[starts[:-1]] = True
+    keep[1:] |= keep[:-1].copy()
+    keep[starts] = True
     at = np.flatnonzero(keep)
-    return codes[at], np.searchsorted(starts, at, "right") - 1, at
-
-
-def gram_hashes(codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the n-grams that lie in one text, and the index of each gram's first code point."""
-    if len(codes) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    m = len(codes) - n + 1
-    h = np.full(m, n, np.uint64)
-    for k in range(n):
-        h = (h ^ codes[k : k + m]) * _MIX
-    h ^= h >> np.uint64(29)
-    at = np.flatnonzero(owner[:m] == owner[n - 1 :])
-    return h[at], at
+    return codes[at], np.repeat(np.arange(len(texts), dtype=np.int32), np.add.reduceat(keep, starts, dtype=np.int64) if len(at) else 0), at, raw
+
+
+def gram_hashes(codes: np.ndarray, owner: np.ndarray, sizes: tuple[int, ...]):
+    """For each size: 64-bit hashes of the n-grams that lie in one text, and the index of their first code point."""
+    h, done = np.zeros(len(codes), np.uint64), 0
+    for n in sizes:
+        if len(codes) < n:
+            yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            continue
+        m = len(codes) - n + 1
+        h = h[:m]
+        for k in range(done, n):
+            h = (h ^ codes[k : k + m]) * _MIX
+            h ^= h >> np.uint64(29)
+        done = n
+        inside = owner[:m] == owner[n - 1 :]
+        yield (h[inside] ^ np.uint64(n)), np.flatnonzero(inside)

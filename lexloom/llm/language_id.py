@@ -40,9 +40,9 @@ class Model:
 
 def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
     """Rows of unit length, or of zeros for texts without a trigram: (1 + log count) x idf."""
-    codes, owner, _ = squeezed(texts)
-    h, at = gram_hashes(codes, owner, GRAM)
-    cell = owner[at] * (1 << BITS) + (h >> np.uint64(64 - BITS)).astype(np.int64)
+    codes, owner, _, _ = squeezed(texts)
+    ((h, at),) = gram_hashes(codes, owner, (GRAM,))
+    cell = owner[at].astype(np.int64) * (1 << BITS) + (h >> np.uint64(64 - BITS)).astype(np.int64)
     counts = np.bincount(cell, minlength=len(texts) << BITS).reshape(len(texts), 1 << BITS).astype(np.float32)
     v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * idf
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))

@@ -11,7 +11,6 @@ FEATURES n-grams. Scores read every whole text.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +22,11 @@ from .common import without
 from .grams import gram_hashes, squeezed
 from .pretokens import blocks
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 200_000
-FEATURES, SIZES, TABLE_BITS = 4096, (4, 5), 22
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 200_000
+FEATURES, SIZES, TABLE_BITS = 512, (4, 5), 22
 HELD_OUT, FOLDS = 0, 5
-SENTENCE_END = re.compile(r"[.!?\n]+")
+#: Code points that end a sentence (fixed values): . ! ? and the line feed.
+SENTENCE_ENDS = np.array([0x2E, 0x21, 0x3F, 0x0A], np.uint32)
 
 
 @dataclass
@@ -44,9 +44,8 @@ class Model:
     def hits(self, codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of code point, feature) of every n-gram that the model keeps."""
         at, feature = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n in SIZES if len(self.grams) else ():
-            h, where = gram_hashes(codes, owner, n)
-            near = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        for h, where in gram_hashes(codes, owner, SIZES) if len(self.grams) else ():
+            near = np.flatnonzero(self.table[h >> np.uint64(64 - TABLE_BITS)])
             k = np.minimum(np.searchsorted(self.grams, h[near]), len(self.grams) - 1)
             same = self.grams[k] == h[near]
             at.append(where[near[same]])
@@ -55,33 +54,25 @@ class Model:
 
 
 def _instances(texts: list[str | None], model: Model):
-    """Distinct (sentence, feature) pairs; sentences are numbered over all texts. Also each sentence's text
-    and its bounds in code points of that text, for sentences with a feature."""
-    codes, owner, position = squeezed(texts)
+    """Distinct (sentence, feature) pairs of the sentences that hold a feature, numbered over all texts, and
+    each such sentence's text, start and end in code points."""
+    codes, owner, position, raw = squeezed(texts)
     at, feature = model.hits(codes, owner)
     if not len(at):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, []
-    begins = np.cumsum([0] + [len(t or "") + 1 for t in texts])
-    doc, where = owner[at], position[at]
-    where = where - begins[doc] - 1
-    bounds: dict[int, list[int]] = {}
-    spans, number = [], np.zeros(len(at), np.int64)
-    order = np.lexsort((where, doc))
-    seen: dict[tuple[int, int], int] = {}
-    for i in order.tolist():
-        d = int(doc[i])
-        if d not in bounds:
-            bounds[d] = [0, *(m.end() for m in SENTENCE_END.finditer(texts[d]))]
-        k = max(0, int(np.searchsorted(bounds[d], max(where[i], 0) + 1, "right")) - 1)  # a gram's blank may end the sentence before
-        key = (d, k)
-        if key not in seen:
-            seen[key] = len(spans)
-            end = bounds[d][k + 1] if k + 1 < len(bounds[d]) else len(texts[d])
-            spans.append((d, bounds[d][k], end))
-        number[i] = seen[key]
+        return (np.zeros(0, np.int64),) * 5
+    ends = (raw == SENTENCE_ENDS[0]) | (raw == SENTENCE_ENDS[1]) | (raw == SENTENCE_ENDS[2]) | (raw == SENTENCE_ENDS[3])
+    sizes = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
+    text_at = np.cumsum(sizes) - sizes
+    begins = np.flatnonzero(ends[:-1] & ~ends[1:]) + 1
+    begins = np.union1d(begins, text_at)
+    # The second code point tells the sentence: a gram's blank can be the full stop before it.
+    sentence = np.searchsorted(begins, position[at + 1], "right") - 1
+    kept, number = np.unique(sentence, return_inverse=True)
     pairs = np.unique(number * len(model.grams) + feature)
-    return pairs // len(model.grams), pairs % len(model.grams), np.array([s[0] for s in spans]), spans
+    doc = np.searchsorted(text_at, begins[kept], "right") - 1
+    start = np.maximum(begins[kept] - text_at[doc] - 1, 0)
+    end = np.append(begins, len(raw))[kept + 1] - text_at[doc] - 1
+    return pairs // len(model.grams), pairs % len(model.grams), doc, start, np.minimum(end, sizes[doc] - 1)
 
 
 def _sentence_scores(sentence, feature, n, model):
@@ -92,14 +83,14 @@ def _sentence_scores(sentence, feature, n, model):
 def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     """Score of each text and the spans of its sentences with a score of at least 0.5."""
     scores, found = np.zeros(len(texts)), [[] for _ in texts]
-    sentence, feature, doc, spans = _instances(texts, model)
-    if len(spans):
-        s = _sentence_scores(sentence, feature, len(spans), model)
+    sentence, feature, doc, start, end = _instances(texts, model)
+    if len(doc):
+        s = _sentence_scores(sentence, feature, len(doc), model)
         scores = 1 - np.exp(np.bincount(doc, np.log1p(-np.minimum(s, 1 - 1e-9)), len(texts)))
-        for (d, a, b), p in zip(spans, s.tolist(), strict=True):
-            if p >= 0.5:
-                found[d].append((a, b))
-    return np.clip(scores, 0, 1), [sorted(x) for x in found]
+        bad = s >= 0.5
+        for d, a, b in zip(doc[bad].tolist(), start[bad].tolist(), end[bad].tolist(), strict=True):
+            found[d].append((a, b))
+    return np.clip(scores, 0, 1), found
 
 
 def _select(texts: list[str], toxic: np.ndarray) -> np.ndarray:
@@ -109,8 +100,8 @@ def _select(texts: list[str], toxic: np.ndarray) -> np.ndarray:
 
     def each():
         for text, y in zip(texts, toxic.tolist(), strict=True):
-            codes, owner, _ = squeezed([text])
-            yield y, np.concatenate([np.unique(gram_hashes(codes, owner, n)[0]) for n in SIZES])
+            codes, owner, _, _ = squeezed([text])
+            yield y, np.unique(np.concatenate([h for h, _ in gram_hashes(codes, owner, SIZES)]))
 
     for y, h in each():
         counts[y][np.unique((h >> shift).astype(np.int64))] += 1
@@ -148,10 +139,10 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.
     model = Model(grams, np.ones(len(grams)), -2.0)
     parts, docs, n = [], [], 0
     for at in range(0, len(texts) if len(grams) else 0, 256):
-        sentence, feature, doc, spans = _instances(texts[at : at + 256], model)
+        sentence, feature, doc, _, _ = _instances(texts[at : at + 256], model)
         parts.append((sentence + n, feature))
-        docs.append(doc.astype(np.int64) + at)
-        n += len(spans)
+        docs.append(doc + at)
+        n += len(doc)
     if not n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -2.0)
     sentence, feature = (np.concatenate(x) for x in zip(*parts))
