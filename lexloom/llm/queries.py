@@ -29,13 +29,42 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    ship(spark)
+    return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": _on_documents("fingerprints", "document_fingerprints"),
     "op2_toxicity": _toxicity,
+    "op3_secret_scan": _on_documents("secrets", "secret_scan"),
     "op4_token_counts": _on_documents("token_counts", "token_counts"),
+    "op5_line_dedup": _on_documents("line_dedup", "line_dedup"),
     "op6_language_id": _on_documents("language_id", "identify"),
     "op7_bpe": _on_documents("bpe", "encode_decode"),
+    "op8_quality_rules": _quality,
     "op9_simhash": _on_documents("simhash", "near_duplicates"),
     "op10_packing": _on_documents("packing", "pack"),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup": """
+with rows as (
+  select doc_id, row_number() over () as rid, string_split(coalesce(text, ''), chr(10)) as l from documents
+), lines as (
+  select doc_id, rid, unnest(l) as line, generate_subscripts(l, 1) as pos from rows
+), keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines
+), repeated as (
+  select k, max(doc_id) as keeper from keyed where length(k) >= 40 and doc_id is not null
+  group by k having count(distinct doc_id) >= 5
+), judged as (
+  select keyed.*, coalesce(keyed.doc_id <> keeper, false) as dropped from keyed left join repeated using (k)
+)
+select doc_id, count(*) as n_lines, cast(sum(dropped::int) as bigint) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
+from judged group by rid, doc_id
+""",
+}
