@@ -27,8 +27,8 @@ WHITE_SPACE = (
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 
 #: Code points handled in one array pass, and entries that a worker's table may hold before it is emptied.
-BLOCK_CHARS = 1 << 20
-TABLE_ENTRIES = 3 << 19
+BLOCK_CHARS = 1 << 19
+TABLE_ENTRIES = 3 << 18
 
 
 @lru_cache(maxsize=4)
@@ -142,11 +142,11 @@ class PieceTable:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.slots = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-        self.id_at = np.zeros(0, np.int64)
+        self.slots = np.zeros(0, np.int32)
+        self.counts = np.zeros(0, np.int32)
+        self.id_at = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
-        self.code_at = np.zeros(0, np.int64)
+        self.code_at = np.zeros(0, np.int32)
         self.codes = np.zeros(0, np.uint32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -163,15 +163,15 @@ class PieceTable:
         for i in range(0, len(pretokens), 8192):
             found += [e.ids for e in encode(pretokens[i : i + 8192], add_special_tokens=False)]
         base = len(self.counts)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        sizes = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
-        self.id_at = np.concatenate([self.id_at, len(self.ids) + np.cumsum(counts) - counts])
-        self.code_at = np.concatenate([self.code_at, len(self.codes) + np.cumsum(sizes) - sizes])
+        counts = np.fromiter(map(len, found), np.int32, len(found))
+        sizes = np.fromiter(map(len, pretokens), np.int32, len(pretokens))
+        self.id_at = np.concatenate([self.id_at, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
+        self.code_at = np.concatenate([self.code_at, (len(self.codes) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, np.fromiter((x for ids in found for x in ids), np.uint32, int(counts.sum()))])
         self.codes = np.concatenate([self.codes, np.frombuffer("".join(pretokens).encode("utf-32-le"), np.uint32)])
         at = np.searchsorted(self.keys, hashes)
-        self.slots = np.insert(self.slots, at, base + np.arange(len(hashes)))
+        self.slots = np.insert(self.slots, at, base + np.arange(len(hashes), dtype=np.int32))
         self.keys = np.insert(self.keys, at, hashes)
 
     def same(self, batch: Batch, slots: np.ndarray) -> bool:
@@ -192,7 +192,7 @@ class PieceTable:
         distinct, first, inverse = np.unique(batch.hashes, return_index=True, return_inverse=True)
         slots = self.find(distinct)
         if (missing := slots < 0).any():
-            if len(self.counts) + int(missing.sum()) > self.limit:
+            if len(self.counts) + int(missing.sum()) > self.limit or len(self.codes) > 64 * self.limit:
                 self.clear()
                 missing = np.ones(len(distinct), bool)
             at, size, text = batch.starts[first[missing]].tolist(), batch.lengths[first[missing]].tolist(), batch.joined
