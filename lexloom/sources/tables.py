@@ -42,7 +42,7 @@ def paragraphs(texts: DataFrame, key: str) -> DataFrame:
 
 def markdown_lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """SRC-15. key, line_no (from 1), line of every line of a text; null texts have none."""
-    return texts.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).select(key, (F.col("at") + 1).alias("line_no"), "line")
+    return texts.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).select(key, (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
