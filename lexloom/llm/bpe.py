@@ -2,11 +2,11 @@
 
 A long text is cut in halves until the parts are short. Spark deals the parts to all tasks, which encode
 them in parallel; then neighbours are joined pairwise, level by level. Around each join a window of tokens
-is encoded again and grown until its first token is the left part's token there and its last token is the
-right part's token there. From such tokens outwards both parts are what the whole text gives: byte pair
-merges depend on neighbouring tokens only, and pre-tokens split alike from a common boundary on. The window
-never holds fewer tokens a side than MIN_WINDOW, more than the longest added token has characters, so an
-added token that the cut divides is always inside it.
+is encoded again and grown until on either side of the join it has a token that the part has at the same
+place. From such tokens outwards both parts are what the whole text gives: byte pair merges depend on
+neighbouring tokens only, and pre-tokens split alike from a common boundary on. Common tokens count only at
+some distance from the join and from the window's ends, because a split looks ahead a few characters and an
+added token may lie across the join; a window that reaches a text's end needs none there.
 
 Only ids travel between tasks, and a document's parts meet in one task only as ids.
 """
@@ -25,7 +25,7 @@ from .common import tokenizer_path
 from .pretokens import blocks, encoder, load_tokenizer
 
 PART_CHARS = 1 << 15
-MIN_WINDOW = 32
+MIN_WINDOW = 128
 
 
 @lru_cache(maxsize=2)
@@ -49,11 +49,25 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
     return b"".join(map(token_bytes(path).__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def _sizes(path: str) -> tuple[np.ndarray, int]:
+    """Bytes of each token, and how far from the end of a text a split may depend on that end, in bytes."""
+    added = [len(t.content) for t in load_tokenizer(path).get_added_tokens_decoder().values()]
+    return np.array([len(b) for b in token_bytes(path)], np.int64), 4 * max([16, *added])
+
+
+def _meet(ids: np.ndarray, at: np.ndarray, other: np.ndarray, other_at: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices in both sequences of the tokens that are the same and begin at the same byte, from low to high."""
+    _, i, j = np.intersect1d(at, other_at, assume_unique=True, return_indices=True)
+    good = (ids[i] == other[j]) & (at[i] >= low) & (at[i] <= high)
+    return i[good], j[good]
+
+
 def join_parts(left: np.ndarray, right: np.ndarray, path: str, window: int = MIN_WINDOW) -> np.ndarray:
     """Ids of the concatenated text from the ids of its two parts."""
     if not len(left) or not len(right):
         return np.concatenate([left, right])
-    table, tokenizer = token_bytes(path), load_tokenizer(path)
+    table, (sizes, margin) = token_bytes(path), _sizes(path)
     inner = lambda i: bool(table[i]) and table[i][0] & 0xC0 == 0x80  # noqa: E731  begins inside a character
     while True:
         a, b = max(0, len(left) - window), min(len(right), window)
@@ -62,11 +76,19 @@ def join_parts(left: np.ndarray, right: np.ndarray, path: str, window: int = MIN
         while b < len(right) and inner(right[b]):
             b += 1
         text = b"".join(table[i] for i in (*left[a:].tolist(), *right[:b].tolist())).decode("utf-8")
-        middle = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        agrees_left = a == 0 or middle[0] == left[a]
-        agrees_right = b == len(right) or middle[-1] == right[b - 1]
-        if agrees_left and agrees_right:
-            return np.concatenate([left[:a], middle, right[b:]])
+        middle = np.array(load_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+        # Places of tokens in bytes from the beginning of the window.
+        before, after = sizes[left[a:]], sizes[right[:b]]
+        cut, end = int(before.sum()), int(before.sum() + after.sum())
+        at = np.cumsum(sizes[middle]) - sizes[middle]
+        i = [0], [0]
+        if a:
+            i = _meet(left[a:], np.cumsum(before) - before, middle, at, margin, cut - margin)
+        j = [b], [len(middle)]
+        if b < len(right):
+            j = _meet(right[:b], cut + np.cumsum(after) - after, middle, at, cut + margin, end - margin)
+        if len(i[0]) and len(j[0]):
+            return np.concatenate([left[: a + i[0][-1]], middle[i[1][-1] : j[1][0]], right[j[0][0] :]])
         window *= 2
 
 
