@@ -1,9 +1,8 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to the pre-token frequencies of
 each document; token ids are never materialised.
 
-Pre-tokens that are frequent in a bounded sample of documents (the head) are counted first and sent to all
-tasks; the bound is HEAD_DOCUMENTS documents and HEAD_ENTRIES pre-tokens. It only decides which of two joins
-a pre-token takes: the head is summed where the text is read, all others go through a shuffle join. So
+Pre-tokens that are frequent in a sample of about HEAD_DOCUMENTS documents (the head) are counted first and
+sent to all tasks, at most HEAD_ENTRIES of them. That only decides which of two joins a pre-token takes: the head is summed where the text is read, all others go through a shuffle join. So
 frequent words never meet in one task, and results don't depend on the sample.
 """
 
@@ -37,8 +36,10 @@ def _words(path: str):
 
 def _head(docs: DataFrame, path: str) -> PieceTable:
     """Piece counts of pre-tokens that occur at least twice in the sample; at most HEAD_ENTRIES of them."""
+    share = HEAD_DOCUMENTS / max(docs.count(), 1)
+    place = F.xxhash64(F.monotonically_increasing_id()) / F.lit(2.0**64) + 0.5
     rows = (
-        docs.select("text").limit(HEAD_DOCUMENTS).mapInArrow(_words(path), "pretoken string, n long")
+        docs.where(place < share).select("text").mapInArrow(_words(path), "pretoken string, n long")
         .groupBy("pretoken").agg(F.sum("n").alias("n")).where("n > 1")
         .orderBy(F.desc("n"), "pretoken").limit(HEAD_ENTRIES).select("pretoken").collect()
     )
