@@ -204,7 +204,8 @@ def document_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFram
     docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = docs.where("doc_id is not null")
-    cuts = sorted({int(x) for x in known.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)})
+    shares = [k / parts for k in range(1, parts)]
+    cuts = sorted({int(x) for x in known.approxQuantile("doc_id", shares, 0.25 / parts)}) if shares else []
     dealt = docs.withColumn("part", _part_of(cuts))
     firsts = dealt.groupBy("part").agg(F.min("key").alias("key")).orderBy("part").collect()  # a row for each part
     if not firsts:
