@@ -28,7 +28,7 @@ LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 
 #: Code points handled in one array pass, and entries that a worker's table may hold before it is emptied.
 BLOCK_CHARS = 1 << 19
-TABLE_ENTRIES = 3 << 18
+TABLE_ENTRIES = 1 << 19
 
 
 @lru_cache(maxsize=4)

@@ -116,9 +116,10 @@ def _select(texts: list[str], toxic: np.ndarray) -> np.ndarray:
         return np.where(c1 * n0 > c0 * n1, g, 0)
 
     # As many grams are tried, so much larger a statistic does chance reach.
-    tried = counts[1] >= 3
-    least = 2 * np.log(max(int(tried.sum()), 2))
-    wanted = tried & (gain(counts[1].astype(float), counts[0].astype(float)) > least)
+    tried = np.flatnonzero(counts[1] >= 3)
+    least = 2 * np.log(max(len(tried), 2))
+    wanted = np.zeros(1 << TABLE_BITS, bool)
+    wanted[tried[gain(counts[1][tried].astype(float), counts[0][tried].astype(float)) > least]] = True
     exact: dict[int, list[int]] = {}
     for y, h in each():
         for g in np.unique(h[wanted[(h >> shift).astype(np.int64)]]).tolist():
