@@ -18,8 +18,8 @@ NAME_STOP = (
     "While", "Where", "When", "What", "Which", "Who", "How", "Table", "Figure", "Section", "Chapter", "Page",
 )
 #: Patterns of names and acronyms (fixed values).
-PROPER = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b"
-ACRONYM = r"\b([A-Z]{2,6})\b"
+PROPER = r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})(?![A-Za-z0-9_])"
+ACRONYM = r"(?<![A-Za-z0-9_])([A-Z]{2,6})(?![A-Za-z0-9_])"
 
 
 def normal_form(form: str):
@@ -122,7 +122,7 @@ def is_page_number(line: Column) -> Column:
 def sentences(text: Column) -> Column:
     """TXT-12. Sentences of a text: after . ! ? … and white space, before a capital or digit."""
     parts = F.split(F.btrim(text), "(?<=[.!?…])\\s+(?=[\"'“‘(\\[]?[A-ZÀ-Ỹ0-9])")
-    return F.filter(F.transform(parts, F.btrim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.btrim(s)), lambda s: s != "")
 
 
 def numbered_heading(text: Column) -> tuple[Column, Column]:
@@ -191,7 +191,7 @@ def unescape_html(text: Column) -> Column:
 def table_cells(row: Column) -> Column:
     """TXT-25. Cells of a pipe table's row."""
     inner = F.regexp_replace(F.btrim(row), r"^\||\|$", "")
-    return F.transform(F.split(inner, r"\|", -1), F.btrim)
+    return F.transform(F.split(inner, r"\|", -1), lambda s: F.btrim(s))
 
 
 def list_preview(titles: Column, most: int) -> Column:

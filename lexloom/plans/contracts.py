@@ -1 +1,109 @@
-"""Queries."""
+"""Contract-comparison queries. A customer's consecutive orders stand for versions of a value, consecutive
+documents for versions of a contract whose lines are clauses."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import contracts as C
+from ..sources.tables import markdown_lines
+from .registry import Tables, query
+
+DELTAS = """v as (select o_custkey, o_orderkey, o_orderpriority, cast(o_totalprice as decimal(18,2)) as new,
+  cast(lag(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as decimal(18,2)) as old from orders),
+c as (select *, case when old <> 0 then round(((new - old) * 100)::double / old::double, 4) end as relative,
+  case when new > old then 'INCREASED' when new < old then 'DECREASED' when new = old then 'UNCHANGED' else 'UNKNOWN' end as direction,
+  case when o_orderpriority like '1%' then 'LIABILITY' when o_orderpriority like '2%' then 'PENALTY' when o_orderpriority like '3%' then 'PAYMENT' else 'OTHER' end as category,
+  case when old is null then 'ADDED' else 'MODIFIED' end as change from v)"""
+SCORED = f"""{DELTAS}, s as (select *, round(least(greatest(
+  case category when 'LIABILITY' then 40.0 when 'PENALTY' then 30.0 when 'PAYMENT' then 26.0 else 12.0 end
+  + case when direction = 'UNCHANGED' then 0 when category = 'LIABILITY' and direction = 'DECREASED' then 12 when category = 'LIABILITY' and direction = 'INCREASED' then -8
+         when category = 'PENALTY' and direction = 'INCREASED' then 12 when category = 'PENALTY' and direction = 'DECREASED' then -8 else 4 end
+  + case when relative is null then 4 when abs(relative) < 5 then 2 when abs(relative) < 15 then 6 when abs(relative) < 35 then 12 when abs(relative) < 60 then 18 else 24 end
+  + case change when 'ADDED' then 8 else 0 end, 0), 100), 1)::double as score from c)"""
+
+
+def _deltas(t: Tables) -> DataFrame:
+    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("new"), F.lag("o_totalprice").over(own).cast("decimal(18,2)").alias("old"))
+    first = F.substring("o_orderpriority", 1, 1)
+    category = F.when(first == "1", "LIABILITY").when(first == "2", "PENALTY").when(first == "3", "PAYMENT").otherwise("OTHER")
+    relative = F.when(F.col("old") != 0, F.round(((F.col("new") - F.col("old")) * 100).cast("double") / F.col("old").cast("double"), 4))
+    return rows.select(
+        "o_custkey", "o_orderkey", "old", "new", relative.alias("relative"), F.coalesce(C.direction(F.col("old"), F.col("new")), F.lit("UNKNOWN")).alias("direction"),
+        category.alias("category"), F.when(F.col("old").isNull(), "ADDED").otherwise("MODIFIED").alias("change"),
+    )
+
+
+def _scored(t: Tables) -> DataFrame:
+    score = C.risk_score(F.col("category"), F.col("change"), F.col("direction"), F.col("relative"), F.lit(0), F.lit(1))
+    return _deltas(t).withColumn("score", score)
+
+
+@query("value_delta", f"with {DELTAS} select o_orderkey, (new - old)::double as delta, relative, direction from c")
+def value_delta(t: Tables) -> DataFrame:
+    """FN-08, FN-09. Change of a value from version to version."""
+    return _deltas(t).select("o_orderkey", (F.col("new") - F.col("old")).cast("double").alias("delta"), "relative", "direction")
+
+
+@query("risk_score", f"with {SCORED} select o_orderkey, category, score, case when score < 25 then 'LOW' when score < 50 then 'MEDIUM' when score < 75 then 'HIGH' else 'CRITICAL' end as level from s")
+def risk_score(t: Tables) -> DataFrame:
+    """CMP-16..19. Risk score and level of each change."""
+    return _scored(t).select("o_orderkey", "category", "score", C.risk_level(F.col("score")).alias("level"))
+
+
+@query("risk_counts", f"""
+with {SCORED}, l as (select category, case when score < 25 then 'LOW' when score < 50 then 'MEDIUM' when score < 75 then 'HIGH' else 'CRITICAL' end as level from s)
+select category, count(*) as n_total, count(*) filter (level = 'LOW') as n_low, count(*) filter (level = 'MEDIUM') as n_medium,
+       count(*) filter (level = 'HIGH') as n_high, count(*) filter (level = 'CRITICAL') as n_critical from l group by 1
+""")
+def risk_counts(t: Tables) -> DataFrame:
+    """AGG-33, AGG-35. Changes by level, levels without any included."""
+    from ..operators.relational import status_counts
+
+    rows = _scored(t).withColumn("level", C.risk_level(F.col("score")))
+    return status_counts(rows, ["category"], "level", ["LOW", "MEDIUM", "HIGH", "CRITICAL"])
+
+
+@query("strongest_change", f"""
+with {DELTAS} select o_custkey, o_orderkey, relative from c
+qualify row_number() over (partition by o_custkey order by coalesce(abs(relative), abs((new - old)::double), 0) desc, relative, o_orderkey) = 1
+""")
+def strongest_change(t: Tables) -> DataFrame:
+    """TOP-13. The strongest change of each customer."""
+    rows = _deltas(t).select("o_custkey", "o_orderkey", "relative", (F.col("new") - F.col("old")).cast("double").alias("delta"))
+    own = Window.partitionBy("o_custkey").orderBy(F.desc(F.coalesce(F.abs("relative"), F.abs("delta"), F.lit(0.0))), "relative", "o_orderkey")
+    return rows.withColumn("r", F.row_number().over(own)).where("r = 1").select("o_custkey", "o_orderkey", "relative")
+
+
+CLAUSES = """k as (select distinct doc_id, sha256(lower(trim(line))) as key from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)),
+a as (select doc_id as pair, key from k where doc_id % 2 = 0), b as (select doc_id - 1 as pair, key from k where doc_id % 2 = 1)"""
+
+
+@query("clause_diff", f"""
+with {CLAUSES}, d as (select coalesce(a.pair, b.pair) as pair, case when a.key is null then 'ADDED' when b.key is null then 'REMOVED' else 'UNCHANGED' end as status
+  from a full outer join b on a.pair = b.pair and a.key = b.key)
+select pair, status, count(*) as n from d group by 1, 2
+""")
+def clause_diff(t: Tables) -> DataFrame:
+    """CMP-11, SET-04, SET-05. Lines that one of two consecutive documents has and the other has not."""
+    key = F.sha2(F.lower(F.btrim("line")).cast("binary"), 256)
+    rows = markdown_lines(t.documents, "doc_id").select("doc_id", key.alias("key")).distinct()
+    a = rows.where("doc_id % 2 = 0").select(F.col("doc_id").alias("pair"), "key", F.col("key").alias("print"))
+    b = rows.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("pair"), "key", F.col("key").alias("print"))
+    return C.clause_diff(a, b, ["pair", "key"], "print").groupBy("pair", "status").agg(F.count("*").alias("n"))
+
+
+@query("numbers_in_text", """
+with m as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) as raw from documents),
+p as (select doc_id, raw, case when regexp_matches(raw, '^\\d{1,3}(\\.\\d{3})+$') then replace(raw, '.', '')
+  when regexp_matches(raw, '^\\d{1,3}(,\\d{3})+(\\.\\d+)?$') then replace(raw, ',', '')
+  when regexp_matches(raw, '^\\d{1,3}(\\.\\d{3})+,\\d+$') then replace(replace(raw, '.', ''), ',', '.')
+  when regexp_matches(raw, '^\\d+,\\d{1,2}$') then replace(raw, ',', '.') else raw end as t from m)
+select doc_id, raw, count(*) as n, max(try_cast(t as decimal(38,6)))::double as number from p group by 1, 2
+""")
+def numbers_in_text(t: Tables) -> DataFrame:
+    """FN-04, FN-05. Numbers of a text in either notation."""
+    rows = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:[.,][0-9]+)*"), F.lit(0))).alias("raw"))
+    return rows.groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.max(C.parse_number(F.col("raw"))).cast("double").alias("number"))

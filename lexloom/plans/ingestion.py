@@ -189,7 +189,7 @@ select doc_id, len(l) as n_paragraphs, coalesce(l[1], '') as first_paragraph fro
 """)
 def paragraph_split(t: Tables) -> DataFrame:
     """TXT-13, SRC-05. Paragraphs between blank lines."""
-    parts = F.filter(F.transform(F.split("text", r"\n[ \t\r]*\n\s*"), F.btrim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", r"\n[ \t\r]*\n\s*"), lambda s: F.btrim(s)), lambda p: p != "")
     rows = t.documents.select("doc_id", parts.alias("l"))
     return rows.select("doc_id", F.size("l").cast("long").alias("n_paragraphs"), F.coalesce(F.try_element_at("l", F.lit(1)), F.lit("")).alias("first_paragraph"))
 

@@ -36,7 +36,7 @@ def read_text_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 def paragraphs(texts: DataFrame, key: str) -> DataFrame:
     """key, paragraph_index, content of every paragraph of column `text`."""
-    parts = F.filter(F.transform(F.split("text", r"\n[ \t\r]*\n\s*"), F.btrim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", r"\n[ \t\r]*\n\s*"), lambda s: F.btrim(s)), lambda p: p != "")
     return texts.select(key, F.posexplode(parts).alias("paragraph_index", "content"))
 
 
