@@ -107,3 +107,87 @@ def numbers_in_text(t: Tables) -> DataFrame:
     """FN-04, FN-05. Numbers of a text in either notation."""
     rows = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:[.,][0-9]+)*"), F.lit(0))).alias("raw"))
     return rows.groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.max(C.parse_number(F.col("raw"))).cast("double").alias("number"))
+
+
+def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Lines of even documents as source clauses, of the odd ones after them as target clauses."""
+    rows = markdown_lines(t.documents, "doc_id").select("doc_id", F.col("line_no").alias("place"), F.lower(F.btrim("line")).alias("body"))
+    a = rows.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "pair")
+    return a, rows.where("doc_id % 2 = 1").withColumn("pair", F.col("doc_id") - 1).drop("doc_id")
+
+
+PAIRED = """l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as place, lower(trim(unnest(string_split(text, chr(10))))) as body from documents),
+a as (select doc_id as pair, place, body, row_number() over (partition by doc_id, body order by place) as n from l where doc_id % 2 = 0),
+b as (select doc_id - 1 as pair, place, body, row_number() over (partition by doc_id, body order by place) as n from l where doc_id % 2 = 1)"""
+
+
+@query("moved_lines", f"with {PAIRED} select pair, a.place as old_place, b.place as new_place from a join b using (pair, body, n) where a.place <> b.place")
+def moved_lines(t: Tables) -> DataFrame:
+    """WIN-30. Lines that stand elsewhere in the next document."""
+    from ..operators.mapping import moved
+
+    return moved(*_versions(t), "pair")
+
+
+W = "list_distinct(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+@query("mapping_candidates", f"""
+with {PAIRED}, s as (select pair, a.place as source, b.place as target, {W.format('a.body')} as x, {W.format('b.body')} as y from a join b using (pair) where abs(a.place - b.place) <= 4),
+j as (select pair, source, target, round(case when len(list_distinct(list_concat(x, y))) = 0 then 0 else len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) end, 6) as score from s)
+select pair, source, target, score from j qualify row_number() over (partition by pair, source order by score desc, abs(source - target), target) <= 8
+""")
+def mapping_candidates(t: Tables) -> DataFrame:
+    """JOIN-18, CMP-06. Candidates of each clause among those near it."""
+    from ..operators.mapping import candidates
+
+    return candidates(*_versions(t), "pair").select("pair", "source", "target", "score")
+
+
+@query("clause_mapping")
+def clause_mapping(t: Tables) -> DataFrame:
+    """JOIN-19. One-to-one mapping in document order; greedy choice has no SQL form."""
+    from ..operators.mapping import assign_greedily, candidates
+
+    return assign_greedily(candidates(*_versions(t), "pair"), "pair", 0.1)
+
+
+@query("citation_check", """
+with o as (select o_custkey as message_id, o_orderkey as chunk_id, row_number() over (partition by o_custkey order by o_orderkey) as place from orders),
+l as (select l_orderkey as chunk_id, min(l_linenumber) as retrieval_id from lineitem where l_quantity > 30 group by 1)
+select message_id, o.chunk_id, retrieval_id, cast(row_number() over (partition by message_id order by place) - 1 as integer) as order_index
+from o join l on o.chunk_id = l.chunk_id
+""")
+def citation_check(t: Tables) -> DataFrame:
+    """SNK-09. References that the latest pass holds, numbered without gaps."""
+    from ..sources.sinks import citation_rows
+
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    refs = t.orders.select(F.col("o_custkey").alias("message_id"), F.col("o_orderkey").alias("chunk_id"), place.alias("place"), F.lit("x").alias("snippet"))
+    held = t.lineitem.where("l_quantity > 30").groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.min("l_linenumber").alias("retrieval_id"))
+    latest = held.join(refs.select("message_id", "chunk_id"), "chunk_id")
+    return citation_rows(refs, latest).select("message_id", "chunk_id", "retrieval_id", "order_index")
+
+
+@query("citation_reasons", """
+with refs as (select item_id, text as snippet, item_id * 7 % 200 as doc_id from benchmark union all select b.item_id, b.text, d.doc_id from benchmark b join documents d on contains(d.text, b.text)),
+n as (select *, row_number() over (partition by doc_id, snippet order by item_id) > 1 as repeated from refs),
+norm as (select n.*, d.text,
+  lower(trim(regexp_replace(regexp_replace(regexp_replace(snippet, '\\s+', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '([(\\[])\\s+', '\\1', 'g'))) as a,
+  lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '([(\\[])\\s+', '\\1', 'g'))) as b
+  from n left join documents d using (doc_id))
+select item_id, doc_id, case when text is null then 'missing_source' when trim(snippet) = '' then 'empty_snippet' when trim(text) = '' then 'empty_source'
+  when not contains(b, a) then 'text_mismatch' when repeated then 'duplicate' else 'valid' end as reason from norm
+""")
+def citation_reasons(t: Tables) -> DataFrame:
+    """VER-01, AGG-43. Why a citation doesn't hold."""
+    from ..operators.mapping import citation_reason
+
+    items = t.benchmark.select("item_id", F.col("text").alias("snippet"))
+    guessed = items.withColumn("doc_id", F.col("item_id") * 7 % 200)
+    found = t.documents.join(F.broadcast(items), F.col("text").contains(F.col("snippet"))).select("item_id", "snippet", "doc_id")
+    refs = guessed.select("item_id", "snippet", "doc_id").union(found)
+    refs = refs.withColumn("repeated", F.row_number().over(Window.partitionBy("doc_id", "snippet").orderBy("item_id")) > 1)
+    rows = refs.join(t.documents.select("doc_id", "text"), "doc_id", "left")
+    reason = citation_reason(F.col("text").isNotNull(), F.lit(True), F.col("snippet"), F.col("text"), F.col("repeated"))
+    return rows.select("item_id", "doc_id", reason.alias("reason"))
