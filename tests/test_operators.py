@@ -106,3 +106,55 @@ def test_stream_equals_batch(spark, tmp_path, late):
     job.awaitTermination(120)
     ours = {(r.start, r.event_type): r.n for r in spark.table("counts").collect()}
     assert ours == {(r.start, r.event_type): r.n for r in windows.windowed_counts(batch, "ts", ["event_type"], "1 hour").collect()}
+
+
+def test_dates(spark):
+    from lexloom.functions.dates import partial_date
+
+    precision, date = partial_date(F.col("x"))
+    texts = ["2024-03-05", "05/03/2024", "2024-03", "Q2 2024", "2024", "31/02/2024", "soon", None]
+    out = spark.createDataFrame([(t,) for t in texts], "x string").select(precision, date.cast("string")).collect()
+    assert [r[1] for r in out] == ["2024-03-05", "2024-03-05", "2024-03-01", "2024-04-01", "2024-01-01", None, None, None]
+    assert [r[0] for r in out] == ["day", "day", "month", "quarter", "year", "unknown", "unknown", "unknown"]
+
+
+def test_legal_structure(spark):
+    from lexloom.operators import legal
+
+    rows = [(1, i + 1, s) for i, s in enumerate(["CHƯƠNG I", "Điều 1. Scope", "1.1 First", "a) point", "plain text", "Điều 2. Price", "2.1 Second", "PHỤ LỤC A"])]
+    found = legal.parents(legal.markers(spark.createDataFrame(rows, "doc int, line_no int, line string"), "doc"), "doc", "line_no").collect()
+    assert [(r.type, r.number, r.parent) for r in sorted(found, key=lambda r: r.line_no)] == [
+        ("CHAPTER", "I", None), ("ARTICLE", "1", 1), ("CLAUSE", "1.1", 2), ("POINT", "a", 3), ("ARTICLE", "2", 1), ("CLAUSE", "2.1", 6), ("APPENDIX", "A", None),
+    ]
+    ids = F.array(F.lit("aaaaaaaa-1"), F.lit("bbbbbbbb-2"))
+    assert values(spark, legal.rewrite_markers(F.col("x"), ids), ["x [bbbbbbbb-2] y [cccccccc-3]z", "none"]) == ["x [2] y z", "none"]
+    assert values(spark, legal.qualifier(F.col("x")), ["pay at least ", "not more than", "pay "]) == ["AT_LEAST", "AT_MOST", "EXACT"]
+
+
+def test_mapping_and_citations(spark):
+    from lexloom.operators import mapping
+    from lexloom.sources import sinks
+
+    a = spark.createDataFrame([(1, 1, "pay the fee"), (1, 2, "pay the fee now")], "pair long, place long, body string")
+    b = spark.createDataFrame([(1, 1, "pay the fee now"), (1, 2, "pay the fee")], "pair long, place long, body string")
+    out = mapping.assign_greedily(mapping.candidates(a, b, "pair"), "pair", 0.5).collect()
+    assert {(r.source, r.target) for r in out} == {(1, 2), (2, 1)}
+    assert {(r.old_place, r.new_place) for r in mapping.moved(a, b, "pair").collect()} == {(1, 2), (2, 1)}
+    change = spark.createDataFrame([("the fee is 5 now", "the fee is 7 now")], "a string, b string").select(mapping.token_changes(F.col("a"), F.col("b"))).first()[0]
+    assert [(c.op, c.old, c.new) for c in change] == [("replace", "5", "7")]
+    refs = spark.createDataFrame([(1, 1, "c1", "x"), (1, 2, "c1", "y"), (1, 3, "c2", " "), (1, 4, "c3", "z")], "message_id int, place int, chunk_id string, snippet string")
+    latest = spark.createDataFrame([(1, "c1", 10), (1, "c3", 11)], "message_id int, chunk_id string, retrieval_id int")
+    assert [(r.chunk_id, r.order_index) for r in sinks.citation_rows(refs, latest).orderBy("order_index").collect()] == [("c1", 0), ("c3", 1)]
+
+
+def test_sinks(spark, tmp_path):
+    from lexloom.sources import sinks
+
+    path = str(tmp_path / "chunks")
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, v string")
+    sinks.overwrite_versions(rows((1, "a"), (2, "b")), path, "v")
+    sinks.overwrite_versions(rows((3, "b")), path, "v")
+    assert {(r.id, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (3, "b")}
+    assert [r.id for r in sinks.delete_versions(rows((1, "a"), (2, "b")), rows((0, "a")), "v").collect()] == [2]
+    new = sinks.upsert(spark.createDataFrame([(1, 5, "old")], "id int, t int, p string"), spark.createDataFrame([(1, 6, "new")], "id int, t int, p string"), ["id"], "t")
+    assert [r.p for r in new.collect()] == ["new"]
