@@ -16,12 +16,12 @@ CONFIDENCE = {"relevance": 0.65, "high": 0.65, "top": 0.55, "spread": 0.35, "cou
 def vector_topk(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int, same: str | None = None) -> DataFrame:
     """TOP-01. query_id, key, score of the k nearest points of each query by cosine, ties by key.
 
-    `queries` has query_id and query_vector, and the tenant column `same` if one is named. It is the stated
-    query set, so its size is known to the caller; the points are read once, and each task keeps k for each
-    query before anything is shuffled (the partial limit of the ranking window).
+    `queries` has query_id and query_vector, and the tenant column `same` if one is named. It is a stated query
+    set; Spark broadcasts it if its size is below the threshold and else pairs blocks of both sides. Each task
+    keeps k for each query before anything is shuffled (the partial limit of the ranking window).
     """
     match = F.lit(True) if same is None else F.col(f"q.{same}") == F.col(f"p.{same}")
-    scored = points.alias("p").join(F.broadcast(queries.alias("q")), match).select(
+    scored = points.alias("p").join(queries.alias("q"), match).select(
         F.col("q.query_id"), F.col(f"p.{key}"), cosine(F.col(f"p.{vector}"), F.col("q.query_vector")).alias("score")
     )
     return top_per_query(scored, key, k)

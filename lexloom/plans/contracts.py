@@ -185,7 +185,7 @@ def citation_reasons(t: Tables) -> DataFrame:
 
     items = t.benchmark.select("item_id", F.col("text").alias("snippet"))
     guessed = items.withColumn("doc_id", F.col("item_id") * 7 % 200)
-    found = t.documents.join(F.broadcast(items), F.col("text").contains(F.col("snippet"))).select("item_id", "snippet", "doc_id")
+    found = t.documents.join(items, F.col("text").contains(F.col("snippet"))).select("item_id", "snippet", "doc_id")
     refs = guessed.select("item_id", "snippet", "doc_id").union(found)
     refs = refs.withColumn("repeated", F.row_number().over(Window.partitionBy("doc_id", "snippet").orderBy("item_id")) > 1)
     rows = refs.join(t.documents.select("doc_id", "text"), "doc_id", "left")

@@ -36,7 +36,7 @@ def _containing(t: Tables) -> DataFrame:
     they meet; the benchmark is a stated query set."""
     needles = t.benchmark.select("item_id", X.normalize_evidence(F.col("text")).alias("needle")).where("needle <> ''")
     hay = t.documents.select("doc_id", X.normalize_evidence(F.col("text")).alias("hay"))
-    return hay.join(F.broadcast(needles), F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id")
+    return hay.join(needles, F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id")
 
 
 def _lexical(t: Tables, k: int = 20) -> DataFrame:
@@ -44,9 +44,9 @@ def _lexical(t: Tables, k: int = 20) -> DataFrame:
 
 
 def _nearest(t: Tables, k: int = 20) -> DataFrame:
-    """The stated query set of vectors: those whose id is divisible by 20."""
+    """The stated query set of vectors: those whose id is divisible by 20. No broadcast is forced, as it grows."""
     asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    scored = t.embeddings.join(F.broadcast(asked)).select(
+    scored = t.embeddings.join(asked).select(
         "query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score")
     )
     return R.top_per_query(scored, "vec_id", k)
@@ -212,7 +212,7 @@ select vec_id, actual, predicted, score from s qualify row_number() over (partit
 def label_centroid_classify(t: Tables) -> DataFrame:
     """AGG-23, RTE-04. Nearest centroid of every vector; there is one centroid for each label."""
     c = centroids(t.embeddings, "label", "embedding").withColumnRenamed("label", "predicted")
-    rows = t.embeddings.join(F.broadcast(c)).select(
+    rows = t.embeddings.join(c).select(
         "vec_id", F.col("label").alias("actual"), "predicted", F.round(cosine(F.col("embedding"), F.col("centroid")), 6).alias("score")
     )
     best = F.max_by(F.struct("actual", "predicted", "score"), F.struct("score", -F.col("predicted"))).alias("best")
