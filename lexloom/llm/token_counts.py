@@ -78,7 +78,7 @@ def _frequencies(path: str, head):
                 yield pa.RecordBatch.from_pydict({
                     "row": pa.array(row), "doc_id": ids.slice(done, len(block)),
                     "n_bytes": pa.array([len((t or "").encode()) for t in block], pa.int64()),
-                    # No pre-token mixes control characters with digits, so this key meets none.
+                    # A key of its own spreads these rows over the join; n_bytes tells them from pre-tokens.
                     "pretoken": pa.array([f"\x00{r}" for r in row.tolist()], pa.string()), "n": pa.array(sums),
                 })
                 if len(tail := np.flatnonzero(slots < 0)):
@@ -121,11 +121,13 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     head = docs.sparkSession.sparkContext.broadcast((table.keys, table.slots, table.counts, table.code_at, table.codes))
     rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = rows.mapInArrow(_frequencies(path, head), "row long, doc_id long, n_bytes long, pretoken string, n long")
-    words = found.select("pretoken").where(~F.col("pretoken").startswith("\x00") | (F.length("pretoken") < 2)).distinct()
+    in_head = F.col("n_bytes").isNotNull()
+    words = found.where(~in_head).select("pretoken").distinct()
     pieces = words.mapInArrow(_pieces(path), "pretoken string, pieces long")
+    counted = F.coalesce("pieces", F.raise_error(F.lit("a pre-token has no piece count")).cast("long"))
     return (
         found.join(pieces, "pretoken", "left")
-        .select("row", "doc_id", "n_bytes", (F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n"))
+        .select("row", "doc_id", "n_bytes", F.when(in_head, F.col("n")).otherwise(F.col("n") * counted).alias("n"))
         .groupBy("row")
         .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

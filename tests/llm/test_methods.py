@@ -59,6 +59,17 @@ def test_bpe_and_counts_on_documents(spark, tokenizer):
         assert (r.n_tokens, r.n_bytes) == (len(expected[r.doc_id]), len(dict(data)[r.doc_id].encode()))
 
 
+def test_counts_of_nul_runs(spark, tokenizer):
+    from lexloom.llm.token_counts import token_counts
+
+    # Each run occurs once, so none is in the head; the last text is a key that a row's sum may have.
+    data = list(enumerate(["\x00" * 4, "a \x00!? b", "x\x00\x00\x01y", "\x00" * 900, "\x00", "\x00" * 3 + "1", "\x000"]))
+    rows = {r.doc_id: r for r in token_counts(spark.createDataFrame(data, "doc_id long, text string"), limit=100).collect()}
+    for i, t in data:
+        n = len(tokenizer.encode(t, add_special_tokens=False).ids)
+        assert (rows[i].n_tokens, rows[i].over_limit) == (n, n > 100), t[:10]
+
+
 def test_packing(spark, tokenizer):
     data = list(enumerate(texts(300, 4, 60)))
     out = packing.pack(spark.createDataFrame(data, "doc_id long, text string"), capacity=64).collect()
