@@ -80,6 +80,20 @@ def test_secret_redaction(spark):
     assert out == {1: "a [SECRET] b", 2: "plain", 3: "key [SECRET] and [SECRET]", 4: None}
 
 
+def test_lower_case_credentials(spark):
+    from lexloom.llm.secrets import redact, secret_scan
+
+    found = ["session=q8z7k2m4x1v9b3n6p5", "key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "auth_q8z7-k2m4-x1v9-b3n6", "session=qwzkmxvbnprtlhgfd5"]
+    plain = ["report-on-the-budget-2024-05-12", "/usr/share/documents/page12/lines", "chapter_one_version2_final=yes"]
+    rows = docs_of(spark, list(enumerate(f"see {s} there" for s in found + plain)))
+    spans = {r.doc_id: r.spans for r in secret_scan(rows).collect()}
+    clean = {r.doc_id: r.text for r in redact(rows).collect()}
+    for i, s in enumerate(found + plain):
+        secret = s in found
+        assert spans[i] == (f"entropy:4:{4 + len(s)}" if secret else ""), s
+        assert clean[i] == (f"see {'[SECRET]' if secret else s} there")
+
+
 def test_entropy_by_window(spark):
     from math import log2
 
