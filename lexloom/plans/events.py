@@ -55,5 +55,6 @@ select id, n + 2 as n_events, substr(text, 1, 24) as first_piece from a
 """)
 def answer_stream(t: Tables) -> DataFrame:
     """STR-03. Events of every streamed answer."""
-    rows = t.conversations.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return S.answer_events(rows, "id", "text").groupBy("id").agg(F.count("*").alias("n_events"), F.max(F.when(F.col("seq") == 1, F.col("data"))).alias("first_piece"))
+    rows = t.conversations.where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("answer"), "text")
+    events = S.answer_events(rows, "answer", "text").groupBy("answer").agg(F.count("*").alias("n_events"), F.max(F.when(F.col("seq") == 1, F.col("data"))).alias("first_piece"))
+    return events.select((F.col("answer.conv_id") * 1000 + F.col("answer.turn")).alias("id"), "n_events", "first_piece")

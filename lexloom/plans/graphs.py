@@ -26,7 +26,7 @@ edges as materialized (select a.name as a, b.name as b, count(*) as weight from
 
 
 def _found(t: Tables) -> DataFrame:
-    lines = markdown_lines(t.documents, "doc_id").select((F.col("doc_id") * 100000 + F.col("line_no")).alias("chunk"), "line")
+    lines = markdown_lines(t.documents, "doc_id").select(F.struct("doc_id", "line_no").alias("chunk"), "line")
     return G.mentions(lines, "chunk", "line")
 
 

@@ -158,3 +158,15 @@ def test_sinks(spark, tmp_path):
     assert [r.id for r in sinks.delete_versions(rows((1, "a"), (2, "b")), rows((0, "a")), "v").collect()] == [2]
     new = sinks.upsert(spark.createDataFrame([(1, 5, "old")], "id int, t int, p string"), spark.createDataFrame([(1, 6, "new")], "id int, t int, p string"), ["id"], "t")
     assert [r.p for r in new.collect()] == ["new"]
+
+
+def test_keys_of_long_documents(spark):
+    from types import SimpleNamespace
+
+    from lexloom.plans import events, graphs
+
+    docs = spark.createDataFrame([(1, "\n" * 100000 + "Acme"), (2, "Zeta\nAcme met Zeta")], "doc_id long, text string")
+    assert [tuple(r) for r in graphs.entity_cooccurrence(SimpleNamespace(documents=docs)).collect()] == [("Acme", "Zeta", 1)]
+    said = spark.createDataFrame([(1, 1001, "assistant", "x" * 30), (2, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    out = events.answer_stream(SimpleNamespace(conversations=said)).collect()
+    assert sorted((r.n_events, r.first_piece) for r in out) == [(3, "y"), (4, "x" * 24)]
