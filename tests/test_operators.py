@@ -170,3 +170,10 @@ def test_keys_of_long_documents(spark):
     said = spark.createDataFrame([(1, 1001, "assistant", "x" * 30), (2, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
     out = events.answer_stream(SimpleNamespace(conversations=said)).collect()
     assert sorted((r.n_events, r.first_piece) for r in out) == [(3, "y"), (4, "x" * 24)]
+
+
+def test_majority_line_has_no_window(spark):
+    rows = [("s", x) for x in ("Page 1", "Page 2", "b", "b", "c")] + [("t", "z"), ("u", None)]
+    found = lines.majority_line(spark.createDataFrame(rows, "source string, line string"), ["source"], "line", 0.3)
+    assert {(r.source, r.key, r.n, r.line, r.share) for r in found.where("source <> 'u'").collect()} == {("s", "b", 2, "b", 0.4), ("t", "z", 1, "z", 1.0)}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
