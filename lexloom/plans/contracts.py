@@ -138,7 +138,7 @@ j as (select pair, source, target, round(case when len(list_distinct(list_concat
 select pair, source, target, score from j qualify row_number() over (partition by pair, source order by score desc, abs(source - target), target) <= 8
 """)
 def mapping_candidates(t: Tables) -> DataFrame:
-    """JOIN-18, CMP-06. Candidates of each clause among those near it."""
+    """JOIN-18, CMP-06, both in part. Candidates of each clause among those near it, by word overlap alone."""
     from ..operators.mapping import candidates
 
     return candidates(*_versions(t), "pair").select("pair", "source", "target", "score")
