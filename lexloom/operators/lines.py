@@ -115,7 +115,7 @@ def html_headings(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def majority_line(rows: DataFrame, group: list[str], line: str, share: float) -> DataFrame:
-    """AGG-19. Most frequent header key of each group, if it has at least a share of the group's lines."""
+    """AGG-19 in part: keys are compared exactly. Most frequent header key of each group, if it has at least a share of the group's lines."""
     counts = rows.withColumn("key", X.header_footer_key(F.col(line))).groupBy(*group, "key").agg(F.count("*").alias("n"), F.min(line).alias("line"))
     top = F.min_by(F.struct("key", "n", "line"), F.struct(-F.col("n"), F.col("key")))  # sums and tops merge, no window holds a group
     best = counts.groupBy(*group).agg(top.alias("top"), F.sum("n").alias("total"))

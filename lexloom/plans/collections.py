@@ -116,7 +116,7 @@ with {LINES}, n as (select item_id, left(text, 30) as needle from benchmark)
 select item_id, doc_id, arg_min(line_no, (length(line), line_no)) as line_no from n join lines on contains(line, needle) group by 1, 2
 """)
 def tightest_block(t: Tables) -> DataFrame:
-    """JOIN-24. The shortest line of a document that holds the beginning of a passage."""
+    """JOIN-24 in part. The shortest line of a document that holds a passage's first 30 code points."""
     needles = t.benchmark.select("item_id", F.substring("text", 1, 30).alias("needle"))
     rows = markdown_lines(t.documents, "doc_id").join(needles, F.col("line").contains(F.col("needle")))
     return rows.groupBy("item_id", "doc_id").agg(F.min_by("line_no", F.struct(F.length("line"), F.col("line_no"))).alias("line_no"))

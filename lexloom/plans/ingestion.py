@@ -294,7 +294,7 @@ r as (select *, n / sum(n) over (partition by source) as share, row_number() ove
 select source, key, n, line, round(share, 6) as share from r where rank = 1 and share >= 0.005
 """)
 def running_headers(t: Tables) -> DataFrame:
-    """AGG-19, TXT-08. The most frequent line of each source, digits and dates aside."""
+    """AGG-19 in part, TXT-08. The most frequent line of each source, digits and dates aside."""
     rows = markdown_lines(t.documents, "doc_id").join(t.documents.select("doc_id", "source"), "doc_id")
     found = L.majority_line(rows, ["source"], "line", 0.005)
     return found.select("source", "key", "n", "line", F.round("share", 6).alias("share"))
