@@ -111,3 +111,30 @@ def test_entropy_by_window(spark):
     out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", window_entropy(F.col("t")).alias("h")).collect()
     for r in out:
         assert abs(r.h - brute(r.t)) < 1e-9, r
+
+
+def test_secrets_of_long_texts_take_linear_time(spark):
+    import random
+    import re
+    import time
+
+    from lexloom.llm.secrets import redact, secret_scan
+
+    rng = random.Random(12)
+    letters = "abcdefABCDEFghijklGHI0123456789+/"
+    kinds = (lambda: f"{rng.getrandbits(64):016x}", lambda: f"password={rng.getrandbits(64):016x}Z", lambda: f"AKIA{rng.getrandbits(64):016X}", lambda: "été \U0001f600")
+    many = {n: " ".join(rng.choice(kinds)() for _ in range(n)) for n in (10_000, 20_000)}
+    one = {n: "".join(rng.choices(letters, k=n)) for n in (100_000, 200_000)}
+    for texts in (many, one):
+        spent = []
+        for n, text in texts.items():
+            docs = docs_of(spark, [(1, text)])
+            began = time.monotonic()
+            spans = secret_scan(docs).first().spans
+            clean = redact(docs).first().text
+            spent.append(time.monotonic() - began)
+            if texts is many:
+                assert clean == re.sub(r"(password=[0-9a-f]{16}Z|AKIA[0-9A-F]{16}|[0-9a-f]{16})", "[SECRET]", text)
+                places = [tuple(map(int, s.split(":")[1:])) for s in spans.split(",")]
+                assert len({text[a:b][:4] for a, b in places if text[a:b].startswith(("AKIA", "pass"))}) == 2
+        assert spent[1] < 60 and spent[1] < 3.5 * spent[0] + 3
