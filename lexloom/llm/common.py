@@ -54,6 +54,10 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, [table._lexloom_path])
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    _delete(spark, [path])
+
+
 def discard_since(spark: SparkSession, mark: int, keep: Iterable[DataFrame] = ()) -> None:
     """Delete all that was saved since saved_so_far() gave `mark`, but for the tables to keep."""
     kept = {t._lexloom_path for t in keep}
