@@ -131,16 +131,18 @@ def test_fingerprint_query(spark):
         assert 0 <= rows[i].near_next <= 1 and 0 <= rows[i].near_edited <= 1
 
 
-def test_simhash_pairs_and_components(spark):
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_simhash_pairs_and_components(spark, bucket):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = list({b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(8)} | set(base))
+    prints += [base[0] ^ (1 << b) for b in range(64)]  # a node with many neighbours
+    prints = list(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    pairs = simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    pairs = simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"), bucket=bucket)
     found = {(r.a, r.b) for r in pairs.collect()}
     expected = {(max(a, b), min(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
     assert found == expected
-    spark.sparkContext.setCheckpointDir("/tmp/lexloom-test-checkpoints")
     roots = {r.node: r.root for r in simhash.components(pairs).collect()}
     for a, b in expected:
         assert roots[a] == roots[b]
@@ -164,6 +166,63 @@ def test_near_duplicates_brute_force(spark):
     assert rows[12].fingerprint == "0" * 16 and rows[14].component_id == 14 and rows[10].class_size == 2
 
 
+def near_copies(rng, n):
+    """Texts of 3 to 400 words, each with copies of which about 2 % of the words are replaced."""
+    out = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 6, 9, 20, 60, 150, 400]))]
+        for _ in range(rng.randint(1, 3)):
+            out.append(" ".join(w if rng.random() > 0.02 else f"x{rng.randrange(3000)}" for w in words))
+    return out
+
+
+def test_keep_one_brute_force(spark):
+    from lexloom.llm import near_texts
+
+    data = list(enumerate(near_copies(random.Random(8), 120)))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in data}
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                p, q = top(a), top(b)
+                parent[max(p, q)] = min(p, q)
+    kept = {r.doc_id for r in near_texts.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert kept == {i for i in sets if top(i) == i}
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    from lexloom.llm import near_texts, simhash
+
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    data = [(i, " ".join([*words, f"end{i}"])) for i in range(300)] + [(1000 + i, " ".join(f"v{rng.randrange(3000)}" for _ in range(100))) for i in range(30)]
+    for share in (4096, 4):  # representatives by a join, and by broadcast
+        monkeypatch.setattr(near_texts, "SHARE", share)
+        monkeypatch.setattr(simhash, "SHARE", share)
+        kept = {r.doc_id for r in near_texts.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        assert kept == {0, *range(1000, 1030)}
+
+
+def test_blocks_meet_by_pigeonhole():
+    from lexloom.llm.near_texts import CLASSES, blocks_of
+
+    rng = np.random.default_rng(3)
+    for n in range(1, 4 * CLASSES):
+        shared = rng.integers(0, 1 << 63, n, np.uint64)
+        for extra_a in range(n // 4 + 1):
+            for extra_b in range(n // 4 + 1):
+                if 5 * n >= 4 * (n + extra_a + extra_b) and n + max(extra_a, extra_b) < 4 * CLASSES:
+                    a, b = (np.unique(np.append(shared, rng.integers(0, 1 << 63, k, np.uint64))) for k in (extra_a, extra_b))
+                    assert set(blocks_of(a)) & set(blocks_of(b)), (n, extra_a, extra_b)
+
+
 def test_line_dedup_brute_force(spark):
     from lexloom.llm.line_dedup import drop_repeated_lines
 

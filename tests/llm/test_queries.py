@@ -43,8 +43,21 @@ def print_of(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def near_groups(texts):
+    """Groups under a Jaccard similarity of 0.8 or more of five-word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        words = [w for w in re.split(f"[{SPACE}]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+    return groups(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+
+
 def components(prints):
-    ids, parent = sorted(prints), {i: i for i in prints}
+    return groups(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+
+
+def groups(values, linked):
+    ids, parent = sorted(values), {i: i for i in values}
 
     def top(x):
         while parent[x] != x:
@@ -53,7 +66,7 @@ def components(prints):
 
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if linked(values[a], values[b]):
                 p, q = top(a), top(b)
                 parent[max(p, q)] = min(p, q)
     return {i: top(i) for i in ids}
@@ -115,7 +128,7 @@ def test_pipeline(spark, texts):
             known = without_repeats(known)
             assert rows(docs) == known
         elif name == "near dedup":
-            roots = components({i: print_of(t) for i, t in known.items()})
+            roots = near_groups(known)
             known = {i: t for i, t in known.items() if roots[i] == i}
             assert rows(docs) == known
         elif name == "secrets":
