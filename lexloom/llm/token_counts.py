@@ -2,7 +2,7 @@
 each document; token ids are never materialised.
 
 Pre-tokens that are frequent in a sample of about HEAD_DOCUMENTS documents (the head) are counted first and
-sent to all tasks, at most HEAD_ENTRIES of them. That only decides which of two joins a pre-token takes: the head is summed where the text is read, all others go through a shuffle join. So
+sent to all tasks, at most HEAD_ENTRIES of at most HEAD_CHARS code points. That only decides which of two joins a pre-token takes: the head is summed where the text is read, all others go through a shuffle join. So
 frequent words never meet in one task, and results don't depend on the sample.
 """
 
@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import save, tokenizer_path
 from .pretokens import PieceTable, blocks, splitter
 
 HEAD_DOCUMENTS = 8192
-HEAD_ENTRIES = 1 << 18
+HEAD_ENTRIES, HEAD_CHARS = 1 << 18, 64
 
 
 def _words(path: str):
@@ -40,7 +40,7 @@ def _head(docs: DataFrame, path: str) -> PieceTable:
     place = F.xxhash64(F.monotonically_increasing_id()) / F.lit(2.0**64) + 0.5
     rows = (
         docs.where(place < share).select("text").mapInArrow(_words(path), "pretoken string, n long")
-        .groupBy("pretoken").agg(F.sum("n").alias("n")).where("n > 1")
+        .where(F.length("pretoken") <= HEAD_CHARS).groupBy("pretoken").agg(F.sum("n").alias("n")).where("n > 1")
         .orderBy(F.desc("n"), "pretoken").limit(HEAD_ENTRIES).select("pretoken").collect()
     )
     table = PieceTable(splitter(path), HEAD_ENTRIES + 1)
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     table = _head(docs, path)
     head = docs.sparkSession.sparkContext.broadcast((table.keys, table.slots, table.counts, table.code_at, table.codes))
     rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_frequencies(path, head), "row long, doc_id long, n_bytes long, pretoken string, n long")
+    found = save(rows.mapInArrow(_frequencies(path, head), "row long, doc_id long, n_bytes long, pretoken string, n long"), "pretokens")
     in_head = F.col("n_bytes").isNotNull()
     words = found.where(~in_head).select("pretoken").distinct()
     pieces = words.mapInArrow(_pieces(path), "pretoken string, pieces long")
