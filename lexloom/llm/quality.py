@@ -21,7 +21,6 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 RISK, ERROR = 0.05, 0.05
-STRATA = 1000
 
 #: Rules and their cutoffs, from the loosest to the tightest.
 RULES: dict[str, tuple[float, ...]] = {
@@ -126,8 +125,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """lang, rule, cutoff for each of the STRATA languages with most good documents and each rule that has a
-    safe cutoff. `rows` has doc_id, lang and the counts; labels are doc_id, quality (several of one doc_id
+    """lang, rule, cutoff for each language with good documents and each rule that has a safe cutoff. `rows` has doc_id, lang and the counts; labels are doc_id, quality (several of one doc_id
     count as good only if all are 1; nulls are left out)."""
     good = (
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -141,7 +139,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame) -> DataFrame:
     ]
     hist = known.select("lang", F.explode(F.array(*over)).alias("x")).groupBy("lang", "x.rule", "x.over").agg(F.count("*").alias("n"))
     total = hist.groupBy("lang", "rule").agg(F.sum("n").alias("n_good"))
-    strata = total.where(F.col("rule") == "symbols").orderBy(F.desc("n_good"), "lang").limit(STRATA).select("lang", "n_good")
+    strata = total.where(F.col("rule") == "symbols").select("lang", "n_good")
     grid = F.array(*[
         F.struct(F.lit(r).alias("rule"), F.lit(k + 1).alias("step"), F.lit(float(c)).alias("cutoff")) for r, cs in RULES.items() for k, c in enumerate(cs)
     ])
@@ -172,7 +170,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rows = save(measures(docs.select("doc_id", "text", "lang")), "measures")
     limits = cutoffs(rows, labels).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
-    judged = rows.join(F.broadcast(limits.withColumnRenamed("lang", "stratum")), F.col("lang") == F.col("stratum"), "left")  # <= STRATA rows
+    judged = rows.join(limits.withColumnRenamed("lang", "stratum"), F.col("lang") == F.col("stratum"), "left")
     failed = F.filter(
         F.array(*[F.when(stat > F.try_element_at("limits", F.lit(rule)), F.lit(rule)) for rule, stat in _statistics().items()]),
         lambda r: r.isNotNull(),
