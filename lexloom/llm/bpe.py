@@ -8,7 +8,8 @@ neighbouring tokens only, and pre-tokens split alike from a common boundary on.
 some distance from the join and from the window's ends, because a split looks ahead a few characters and an
 added token may lie across the join; a window that reaches a text's end needs none there.
 
-Only ids travel between tasks, and a document's parts meet in one task only as ids.
+Only ids travel between tasks. Neighbouring parts are joined in groups of FAN first, each group in a task of
+its own; then a document's groups meet in one task, since the digest of its ids needs them all in order.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path
 from .pretokens import blocks, encoder, load_tokenizer
 
-PART_CHARS = 1 << 15
+PART_CHARS, FAN = 1 << 15, 64
 MIN_WINDOW = 128
 
 
@@ -135,22 +136,49 @@ def _parts(path: str):
             for done, found in _encode(batch, path):
                 own = batch.slice(done, len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("row"), own.column("doc_id"), own.column("part"), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())],
-                    ["row", "doc_id", "part", "ids"],
+                    [*map(own.column, ("row", "doc_id", "part", "n_parts")), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())],
+                    ["row", "doc_id", "part", "n_parts", "ids"],
                 )
 
     return run
 
 
+def _whole_ids(table: pa.Table, path: str) -> np.ndarray:
+    return join_tree([np.frombuffer(x, "<u4").astype(np.uint32) for x in table.sort_by("part").column("ids").to_pylist()], path)
+
+
+GROUP = "row long, doc_id long, part int, ids binary, digests struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>"
+
+
 def _joined(path: str):
+    """The ids of a group of neighbouring parts; their digests instead if the group is the whole document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        whole = _whole_ids(table, path)
+        first = {name: table.column(name)[0].as_py() for name in ("row", "doc_id", "part", "n_parts")}
+        done = first.pop("n_parts") == table.num_rows
+        digests = _digests([0], [whole], path).drop_columns(["doc_id"]).to_pylist()[0] if done else None
+        first |= {"part": first["part"] // FAN, "ids": None if done else whole.astype("<u4").tobytes(), "digests": digests}
+        return pa.Table.from_pylist([first], GROUP_ARROW)
+
+    return run
+
+
+def _finished(path: str):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        whole = join_tree([np.frombuffer(x, "<u4").astype(np.uint32) for x in table.column("ids").to_pylist()], path)
-        return pa.Table.from_batches([_digests(table.column("doc_id").to_pylist()[:1], [whole], path)])
+        doc, digests = table.column("doc_id").to_pylist()[:1], table.column("digests")[0].as_py()
+        if digests is None:
+            return pa.Table.from_batches([_digests(doc, [_whole_ids(table, path)], path)])
+        return pa.Table.from_pylist([{"doc_id": doc[0], **digests}], OUT_ARROW)
 
     return run
 
 
+DIGESTS = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+OUT_ARROW = pa.schema([("doc_id", pa.int64()), *DIGESTS])
+GROUP_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("digests", pa.struct(DIGESTS))])
+
+
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of `docs` (doc_id, text).
 
@@ -162,15 +190,13 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, part_chars: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = F.length(F.coalesce("text", F.lit("")))
     short = docs.where(size <= part_chars).mapInArrow(_whole(path), OUT)
-    # Halving k times gives 2^k parts.
-    n = F.pow(F.lit(2), F.ceil(F.log2(size / part_chars))).cast("long")
+    # Halving k times gives parts of this size. One pass over the text cuts it.
+    each = F.ceil(size / F.pow(F.lit(2), F.ceil(F.log2(size / part_chars)))).cast("int")
+    cut = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), each.cast("string"), F.lit("}")), F.lit(0))
     long = (
-        docs.withColumn("row", F.monotonically_increasing_id()).where(size > part_chars).withColumn("n_parts", n)
-        .select("row", "doc_id", "text", "n_parts", F.explode(F.sequence(F.lit(0), (F.col("n_parts") - 1).cast("int"))).alias("part"))
-        .withColumn("at", F.floor(F.col("part") * F.length("text") / F.col("n_parts")).cast("int"))
-        .withColumn("end", F.floor((F.col("part") + 1) * F.length("text") / F.col("n_parts")).cast("int"))
-        .select("row", "doc_id", "part", F.col("text").substr(F.col("at") + 1, F.col("end") - F.col("at")).alias("text"))
+        docs.withColumn("row", F.monotonically_increasing_id()).where(size > part_chars).select("row", "doc_id", cut.alias("cut"))
+        .select("row", "doc_id", F.size("cut").alias("n_parts"), F.posexplode("cut").alias("part", "text"))
     )
-    parts = long.repartition("row", "part").mapInArrow(_parts(path), "row long, doc_id long, part int, ids binary")
-    joined = parts.groupBy("row").applyInArrow(_joined(path), OUT)
-    return short.unionByName(joined)
+    parts = long.repartition("row", "part").mapInArrow(_parts(path), "row long, doc_id long, part int, n_parts int, ids binary")
+    groups = parts.groupBy("row", F.floor(F.col("part") / FAN).alias("at")).applyInArrow(_joined(path), GROUP)
+    return short.unionByName(groups.groupBy("row").applyInArrow(_finished(path), OUT))
