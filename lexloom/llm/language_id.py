@@ -4,8 +4,9 @@ A text is its TF-IDF vector of hashed character trigrams, of unit length. Each l
 centroids, clustered among its own documents by cosine. A text takes the language of the nearest centroid;
 one that is farther from it than all but a few training documents were is marked as rejected.
 
-The centroids are fitted on a bounded sample: at most SAMPLE documents a language of at most SAMPLE_CHARS
-code points, those with the least hash of doc_id. Every whole text is read for its prediction.
+The centroids are fitted on a bounded sample: of the LANGUAGES languages with most rows, at most SAMPLE
+documents each and about SAMPLE_ROWS together, of at most SAMPLE_CHARS code points, those with the least hash
+of doc_id and text. Every whole text is read for its prediction.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .grams import gram_hashes, squeezed
 from .pretokens import blocks
 from .toxicity import fold
 
-SAMPLE, SAMPLE_CHARS = 800, 200_000
+SAMPLE, SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 800, 8000, 20_000, 2000
 BITS, GRAM, CENTROIDS = 12, 3, 3
 HELD_OUT, FOLDS = 1, 3
 UNKNOWN = "und"
@@ -104,18 +105,21 @@ def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.
 def learn(docs: DataFrame) -> Model:
     """A model of the languages of rows whose fold is not held out. Null texts and languages are left out."""
     rows = docs.where("text is not null and lang is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    # A hash of doc_id below a cut-off that holds about twice the sample comes first, so that no language
-    # meets whole in one task.
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # A hash of doc_id and text below a cut-off that holds about twice the sample comes first, so that no
+    # language meets whole in one task.
+    place = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
+    rows = rows.where(F.length("text") <= SAMPLE_CHARS).select("lang", "text", "doc_id", place.alias("place"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * SAMPLE / n))])
-    order = F.xxhash64("doc_id")
-    near = rows.where(F.length("text") <= SAMPLE_CHARS).where((order / F.lit(2.0**64) + 0.5) <= share[F.col("lang")])
-    first = Window.partitionBy("lang").orderBy("hash", "doc_id", "text")
+    most = max(1, min(SAMPLE, SAMPLE_ROWS // len(sizes)))
+    shares = [(r.lang, max(r.least, min(1.0, 2.0 * most / r.n))) for r in sizes]
+    shares = docs.sparkSession.createDataFrame(shares, "known_lang string, share double")
+    near = rows.join(F.broadcast(shares), F.col("lang") == F.col("known_lang")).where("place <= share")  # <= LANGUAGES rows
+    first = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
     sample = (
-        near.select("lang", "text", "doc_id", order.alias("hash")).withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= SAMPLE).orderBy("lang", "rank").select("text", "lang").toPandas()
+        near.withColumn("rank", F.row_number().over(first))
+        .where(F.col("rank") <= most).orderBy("lang", "rank").select("text", "lang").toPandas()
     )
     return fit(sample.text.tolist(), sample.lang.tolist())
 
@@ -124,7 +128,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1), rejected for every row of `docs` (doc_id, text, lang).
 
     Null texts and texts without a letter are `und` with score 0 and rejected, and so are all texts if nothing
-    can be learned. Letters too few for a trigram give score 0 and the first language. Repeated rows have
+    can be learned. Letters too few for a trigram give score 0 and the first language; of centroids at the same distance the first one counts. Repeated rows have
     equal results; other columns are ignored; an empty table gives an empty result. A null doc_id hashes as
     empty text.
     """

@@ -6,7 +6,7 @@ alone. Sentences with a score of at least 0.5 are reported as spans.
 
 The classifier is fitted on a bounded sample of labelled rows: at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN
 other documents of at most SAMPLE_CHARS code points, those with the least hash of doc_id. It keeps at most
-FEATURES n-grams. Scores read every whole text.
+FEATURES n-grams. So at most 72 million code points come to the driver. Scores read every whole text.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import without
 from .grams import gram_hashes, squeezed
 from .pretokens import blocks
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 200_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 20_000
 FEATURES, SIZES, TABLE_BITS = 512, (4, 5), 22
 HELD_OUT, FOLDS = 0, 5
 #: Code points that end a sentence (fixed values): . ! ? and the line feed.
@@ -214,7 +214,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans for every row of `docs`. A null doc_id hashes as empty text."""
+    """doc_id, held_out, score, predicted, spans for every row of `docs`. A null doc_id hashes as empty text.
+    Null and empty texts score 0; repeated rows score alike; other columns are ignored; an empty table gives an
+    empty result. Labelled rows of equal hash are taken into the sample in the order of doc_id."""
     docs = docs.select("doc_id", "text")
     scored = score_documents(docs, learn(docs, labels))
     return scored.select(
