@@ -3,8 +3,10 @@
 The prefix array of a text holds sum(c_j * B^j) for j < i, modulo two primes. Any span's hash is the
 difference of two entries, brought to exponent 0, so spans of one or two texts are compared in constant time
 and longest common extensions are found by binary search. The fingerprint of a text is its whole hash, its
-length and the least hashes of its spans of SPAN code points; the likeness of two fingerprints is the Dice
-share of common spans that these estimate.
+length and the least hashes of its spans of SPAN code points, and of SHORT code points for texts below
+BOTH code points; the likeness of two fingerprints is the Dice share of common spans that these estimate.
+Two texts are compared by short spans if one has fewer than FEW code points and the other has them, else by
+long ones. Common extensions need the texts themselves, so they give a column of their own.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 #: The largest primes below 2^31 of which the first is 2^31 - 1, with a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
-SPAN, SKETCH = 24, 48
+SPAN, SHORT, FEW, BOTH, SKETCH = 24, 4, 192, 2304, 96
 
 
 @lru_cache(maxsize=8)
@@ -99,11 +101,11 @@ def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
     return low
 
 
-def sketch(hashes: PrefixHash) -> np.ndarray:
+def _least(hashes: PrefixHash, span: int) -> np.ndarray:
     """The SKETCH least scrambled hashes of distinct spans; texts shorter than a span are one span."""
     if not hashes.n:
         return np.zeros(0, np.uint64)
-    h = hashes.windows(min(SPAN, hashes.n))
+    h = hashes.windows(min(span, hashes.n))
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     h &= np.uint64(0xFFFFFFFF)
@@ -115,18 +117,32 @@ def sketch(hashes: PrefixHash) -> np.ndarray:
     return np.unique(h)[:SKETCH]
 
 
-def fingerprint_of(hashes: PrefixHash, least: np.ndarray) -> str:
-    """Hex digits: whole hash (16), length (8), then 8 for each entry of the sketch."""
-    whole = hashes.span(0, hashes.n) if hashes.n else 0
-    return f"{whole:016x}{hashes.n & 0xFFFFFFFF:08x}" + least.astype(">u4").tobytes().hex()
+class Print:
+    """What a fingerprint holds: whole hash, length, and the sketches of long and short spans."""
 
+    __slots__ = ("long", "n", "short", "whole")
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common spans, 2 |A and B| / (|A| + |B|), from two sketches; 1 for two empty texts."""
-    if not len(a) and not len(b):
+    def __init__(self, hashes: PrefixHash):
+        self.n = hashes.n
+        self.whole = hashes.span(0, hashes.n) if hashes.n else 0
+        self.long = _least(hashes, SPAN)
+        self.short = _least(hashes, SHORT) if hashes.n < BOTH else None
+
+    def text(self) -> str:
+        """Hex digits: whole hash (16), length (8), then 8 for each entry of the long sketch and, for texts below
+        BOTH code points, of the short one."""
+        entries = self.long if self.short is None else np.concatenate([self.long, self.short])
+        return f"{self.whole:016x}{self.n & 0xFFFFFFFF:08x}" + entries.astype(">u4").tobytes().hex()
+
+
+def likeness(a: Print, b: Print) -> float:
+    """Estimated share of common spans, 2 |A and B| / (|A| + |B|); 1 for equal texts, also empty ones."""
+    if (a.whole, a.n) == (b.whole, b.n):
         return 1.0
-    union = np.union1d(a, b)[:SKETCH]
-    jaccard = len(np.intersect1d(np.intersect1d(a, b), union)) / len(union) if len(union) else 0.0
+    by_short = min(a.n, b.n) < FEW and a.short is not None and b.short is not None
+    x, y = (a.short, b.short) if by_short else (a.long, b.long)
+    union = np.union1d(x, y)[:SKETCH]
+    jaccard = len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union) if len(union) else 0.0
     return 2 * jaccard / (1 + jaccard)
 
 
@@ -171,20 +187,18 @@ def _pair(doc_id, text, after):
     if _last.get("text") is not text:
         codes = codes_of(text)
         hashes = PrefixHash(codes)
-        _last.update(text=text, made=(codes, hashes, sketch(hashes)))
-    old, old_hashes, old_sketch = _last["made"]
+        _last.update(text=text, made=(codes, hashes, Print(hashes)))
+    old, old_hashes, own = _last["made"]
     codes = codes_of(after)
     hashes = PrefixHash(codes)
-    next_sketch = sketch(hashes)
+    following = Print(hashes)
     half = len(old) // 2
     edited = np.concatenate([old[: len(old) - half], codes[:half]])
-    edited_hashes = PrefixHash(edited)
-    edited_sketch = sketch(edited_hashes)
-    _last.update(text=after, made=(codes, hashes, next_sketch))
+    changed = Print(PrefixHash(edited))
+    _last.update(text=after, made=(codes, hashes, following))
     return (
-        doc_id, len(old), hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest(),
-        fingerprint_of(old_hashes, old_sketch), fingerprint_of(edited_hashes, edited_sketch),
-        likeness(old_sketch, edited_sketch), likeness(old_sketch, next_sketch), common_extension(old_hashes, 0, hashes, 0),
+        doc_id, len(old), hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest(), own.text(), changed.text(),
+        likeness(own, changed), likeness(own, following), common_extension(old_hashes, 0, hashes, 0),
     )
 
 
@@ -192,47 +206,46 @@ def document_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFram
     """Fingerprints of every whole text and of its edited text, and their likeness.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of
-    the next document in ascending (doc_id, text); the first one follows the last. Null texts are empty and
-    null doc_ids come first. Repeated rows follow one another. A single row follows itself. Other columns
-    are ignored; an empty table gives an empty result.
+    the next document in ascending doc_id; the first one follows the last. Rows that share a doc_id follow one
+    another in the order of a hash of their texts. Null texts are empty and null doc_ids come first. Rows with equal
+    doc_id and text are ties of equal results, but for the last of them. A single row follows itself. Other
+    columns are ignored; an empty table gives an empty result.
 
-    Rows are dealt by ranges of doc_id, so only one copy of the texts is shuffled; the first row of each
-    range is also sent to the range before it.
+    Rows are dealt by ranges of (doc_id, hash), so only one copy of the texts is shuffled; the first row of
+    each range is also sent to the range before it.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("hash", F.xxhash64("text"))
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    known = docs.where("doc_id is not null")
-    shares = [k / parts for k in range(1, parts)]
-    cuts = sorted({int(x) for x in known.approxQuantile("doc_id", shares, 0.25 / parts)}) if shares else []
-    dealt = docs.withColumn("part", _part_of(cuts))
-    firsts = dealt.groupBy("part").agg(F.min("key").alias("key")).orderBy("part").collect()  # a row for each part
+    # The ranges that Spark's own sampling finds, without the texts; a row for each range comes to the driver.
+    ranges = docs.select("key", "hash").repartitionByRange(parts, "key", "hash").groupBy(F.spark_partition_id().alias("range"))
+    firsts = sorted({(r.least.key, r.least.hash) for r in ranges.agg(F.min(F.struct("key", "hash")).alias("least")).collect()})
     if not firsts:
         return spark.createDataFrame([], OUT)
-    before = [(firsts[i - 1].part, r.key) for i, r in enumerate(firsts)]
-    before = spark.createDataFrame(before, "to_part int, first_key long")
+    dealt = docs.withColumn("part", _part_of(firsts))
+    before = [((i - 1) % len(firsts), *first) for i, first in enumerate(firsts)]
+    before = spark.createDataFrame(before, "part int, first_key long, first_hash long")
     looked = (
-        docs.join(F.broadcast(before), F.col("key") == F.col("first_key"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("to_part").orderBy("text")))
-        .where("rank = 1").select("doc_id", "text", "key", F.col("to_part").alias("part"), F.lit(1).alias("last"))
+        docs.join(F.broadcast(before), (F.col("key") == F.col("first_key")) & (F.col("hash") == F.col("first_hash")))  # a row for each range
+        .groupBy("part").agg(F.min(F.struct("text", "doc_id", "key", "hash")).alias("row")).select("part", "row.*", F.lit(1).alias("last"))
     )
     rows = dealt.withColumn("last", F.lit(0)).unionByName(looked)
     return (
-        rows.repartitionById(len(cuts) + 1, F.col("part"))
-        .sortWithinPartitions("part", "last", "key", "text")
+        rows.repartitionById(len(firsts), F.col("part"))
+        .sortWithinPartitions("part", "last", "key", "hash", "text")
         .select("part", "last", "doc_id", "text")
         .mapInArrow(_consecutive, OUT)
     )
 
 
-def _part_of(cuts: list[int]):
-    """Number of cuts at or below the key, by binary search over the sorted cuts as a tree of comparisons."""
+def _part_of(firsts: list[tuple[int, int]]):
+    """Index of the last range that begins at or before (key, hash), by binary search in a literal array."""
+    keys, hashes = F.lit([k for k, _ in firsts]), F.lit([h for _, h in firsts])
+    powers = [1 << b for b in reversed(range(len(firsts).bit_length()))]
 
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("key") >= F.lit(cuts[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
+    def step(at, jump):
+        k, h = F.get(keys, at + jump), F.get(hashes, at + jump)
+        return F.when((k < F.col("key")) | ((k == F.col("key")) & (h <= F.col("hash"))), at + jump).otherwise(at)
 
-    return tree(0, len(cuts)).cast("int")
+    return F.aggregate(F.lit(powers), F.lit(0), step)

@@ -131,6 +131,36 @@ def test_fingerprint_query(spark):
         assert 0 <= rows[i].near_next <= 1 and 0 <= rows[i].near_edited <= 1
 
 
+def test_likeness_against_brute_force():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 8)))
+
+    def spans(t, n):
+        n = min(n, len(t))
+        return {t[i : i + n] for i in range(len(t) - n + 1)} if t else set()
+
+    for k in range(200):
+        a = " ".join(word() for _ in range(rng.choice([3, 6, 12, 30, 200, 800])))
+        keep = len(a) - len(a) // 2 if k % 2 else rng.randint(0, len(a))
+        b = a[:keep] + " ".join(word() for _ in range(200))[: len(a) - keep]
+        x, y = (fingerprints.Print(fingerprints.PrefixHash(fingerprints.codes_of(t))) for t in (a, b))
+        n = fingerprints.SHORT if min(len(a), len(b)) < fingerprints.FEW else fingerprints.SPAN
+        p, q = spans(a, n), spans(b, n)
+        assert abs(fingerprints.likeness(x, y) - 2 * len(p & q) / (len(p) + len(q))) < 0.2, (len(a), keep)
+        assert abs(fingerprints.likeness(x, y) - keep / len(a)) < 0.35
+        assert fingerprints.likeness(x, x) == 1 and (x.text() == y.text()) == (a == b)
+
+
+def test_fingerprints_of_ties(spark):
+    """Rows that share a doc_id or have none are dealt over ranges like all others."""
+    texts_of = [f"text number {k} " * 3 for k in range(40)]
+    data = [(7, t) for t in texts_of] + [(None, t) for t in texts_of] + [(8, "a"), (8, "a"), (8, None)]
+    rows = fingerprints.document_fingerprints(spark.createDataFrame(data, "doc_id long, text string"), parts=5).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in data)
+    sizes = {(r.doc_id, r.fingerprint): r.n_chars for r in rows}
+    assert len(sizes) == 82 and all(r.near_edited == 1 for r in rows if r.n_chars < 2)
+
+
 @pytest.mark.parametrize("bucket", [64, 3])
 def test_simhash_pairs_and_components(spark, bucket):
     rng = random.Random(3)
