@@ -31,8 +31,10 @@ BATCH_ROWS = 1024
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each Spark context. Rows hold whole texts,
-    so Arrow batches of the default 10,000 rows become batches of BATCH_ROWS; another setting stays."""
+    """Send this package to the executors' Python workers, once for each Spark context.
+
+    This changes the caller's session: rows hold whole texts, so Arrow batches of the default 10,000 rows become
+    batches of BATCH_ROWS for all of its queries. Another setting stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext

@@ -177,3 +177,46 @@ def test_majority_line_has_no_window(spark):
     found = lines.majority_line(spark.createDataFrame(rows, "source string, line string"), ["source"], "line", 0.3)
     assert {(r.source, r.key, r.n, r.line, r.share) for r in found.where("source <> 'u'").collect()} == {("s", "b", 2, "b", 0.4), ("t", "z", 1, "z", 1.0)}
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_are_mapped_level_by_level(spark):
+    from lexloom.operators import comparison as K
+    from lexloom.sources.tables import markdown_lines
+
+    old = "Article 1. Payment terms\n1.1 The buyer pays 100 usd.\n1.2 Late sums bear 5 percent.\nArticle 2. Warranty\n2.1 The warranty lasts 12 months."
+    new = "```\nArticle 9. Sample\n```\nArticle 1. Definitions\nArticle 2. Payment terms\n2.1 The buyer pays 120 usd.\n2.2 Late sums bear 5 percent.\nArticle 3\nWarranty\n3.1 The warranty lasts 12 months.\nPage 1"
+    docs = spark.createDataFrame([(0, old), (1, new)], "key long, text string")
+    lines = markdown_lines(docs, "key")
+    units = K.comparable_units(K.structure(lines, "key"), lines, "key").withColumn("pair", F.lit(7)).collect()
+    titles = {(r.key, r.identity_key): r.title for r in units}
+    assert (1, "ARTICLE:9") not in titles and titles[1, "ARTICLE:3"] == "warranty"
+    assert next(r for r in units if r.key == 1 and r.identity_key == "CLAUSE:3.1").parent_key == "ARTICLE:3"
+    rows = spark.createDataFrame(units)
+    a, b = rows.where("key = 0").drop("key"), rows.where("key = 1").drop("key")
+    # Articles 1 and 2 are there twice by number, so numbers map them first; the warranty's clause finds its equal.
+    mapped = {(r.source, r.target): r.status for r in K.map_units(a, b, "pair", levels=(3, 4)).collect()}
+    place = {(r.key, r.identity_key): r.order_index for r in units}
+    assert mapped[place[0, "ARTICLE:1"], place[1, "ARTICLE:1"]] == "EXACT"
+    assert mapped[place[0, "CLAUSE:2.1"], place[1, "CLAUSE:2.1"]] == "EXACT"
+    assert (place[0, "CLAUSE:1.1"], place[1, "CLAUSE:3.1"]) not in mapped
+
+
+def test_score_floors(spark):
+    from lexloom.operators import comparison as K
+
+    t, f, x = F.lit(True), F.lit(False), F.lit(0.0)
+    base = {"number": f, "type": t, "parent": f, "relative": f, "title": x, "lexical": x, "position": x}
+    cases = (({}, 0.1), ({"number": t}, 0.97), ({"title": F.lit(1.0), "lexical": F.lit(0.5)}, 0.85), ({"relative": t, "parent": t, "title": F.lit(0.8)}, 0.85))
+    got = spark.range(1).select(*[K.score_pair(base | c).alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
+    assert [round(v, 6) for v in got] == [w for _, w in cases]
+
+
+def test_typed_values(spark):
+    from lexloom.operators import comparison as K
+
+    text = "pay 1,200 usd within 30 days, then 5% or 7 percent of 2 units"
+    got = spark.createDataFrame([(text,)], "t string").select(K.typed_values(F.col("t")).alias("v")).first().v
+    assert [(v.type, v.number, v["index"]) for v in got] == [
+        ("MONEY", 1200.0, 0), ("DURATION", 30.0, 0), ("PERCENTAGE", 5.0, 0), ("PERCENTAGE", 7.0, 1), ("QUANTITY", 2.0, 0)
+    ]
+    assert got[1].left.strip() == "within" and got[0].right == " within "
