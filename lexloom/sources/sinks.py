@@ -6,6 +6,9 @@ rows are kept by anti joins, so a job that is run again gives the same table.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +65,18 @@ def render_markdown(blocks: DataFrame, report: str, order: str, title: str, body
     part = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body))
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"))))
     return blocks.groupBy(report).agg(F.array_join(F.transform(listed, lambda s: s["p"]), "\n\n").alias("markdown"))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """CMP-23. A stage's result written as Parquet and read again, so that what follows has a short plan and a lost executor
+    repeats no stage. It lies in the shared folder of spark.checkpoint.dir; only local sessions may lack one."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lexloom-stages-")
+    path = f"{where.rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
