@@ -132,7 +132,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame) -> DataFrame:
         .where("quality = 1").select(F.col("doc_id").alias("good_id"))
     )
     known = rows.join(good, F.col("doc_id") == F.col("good_id"))
-    # How many cutoffs of a rule each good document exceeds; the loosest come first.
+    # How many cutoffs of a rule each good document exceeds: the tightest of them, which come last.
     over = [
         F.struct(F.lit(rule).alias("rule"), sum((stat > c).cast("int") for c in RULES[rule]).alias("over"))
         for rule, stat in _statistics().items()
@@ -141,11 +141,12 @@ def cutoffs(rows: DataFrame, labels: DataFrame) -> DataFrame:
     total = hist.groupBy("lang", "rule").agg(F.sum("n").alias("n_good"))
     strata = total.where(F.col("rule") == "symbols").select("lang", "n_good")
     grid = F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(k + 1).alias("step"), F.lit(float(c)).alias("cutoff")) for r, cs in RULES.items() for k, c in enumerate(cs)
+        F.struct(F.lit(r).alias("rule"), F.lit(k + 1).alias("step"), F.lit(float(c)).alias("cutoff"), F.lit(len(cs) - k).alias("least_over"))
+        for r, cs in RULES.items() for k, c in enumerate(cs)
     ])
     tests = strata.select("lang", "n_good", F.explode(grid).alias("g")).select("lang", "n_good", "g.*")
     lost = (
-        tests.alias("t").join(hist.alias("h"), (F.col("t.lang") == F.col("h.lang")) & (F.col("t.rule") == F.col("h.rule")) & (F.col("h.over") >= F.col("t.step")), "left")
+        tests.alias("t").join(hist.alias("h"), (F.col("t.lang") == F.col("h.lang")) & (F.col("t.rule") == F.col("h.rule")) & (F.col("h.over") >= F.col("t.least_over")), "left")
         .groupBy("t.lang", "t.rule", "step", "cutoff", "n_good").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lost"))
     )
     n_tests = strata.agg(F.count("*").alias("n_strata"))

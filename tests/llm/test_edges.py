@@ -138,3 +138,32 @@ def test_secrets_of_long_texts_take_linear_time(spark):
                 places = [tuple(map(int, s.split(":")[1:])) for s in spans.split(",")]
                 assert len({text[a:b][:4] for a, b in places if text[a:b].startswith(("AKIA", "pass"))}) == 2
         assert spent[1] < 60 and spent[1] < 3.5 * spent[0] + 3
+
+
+def test_many_dropped_lines_take_linear_time(spark):
+    import time
+
+    from lexloom.llm.line_dedup import drop_repeated_lines
+
+    spent = []
+    for n in (4_000, 16_000):
+        text = "\n".join(f"line number {k} that is repeated in all five documents" for k in range(n))
+        began = time.monotonic()
+        out = {r.doc_id: (r.n_dropped, r.kept_text) for r in drop_repeated_lines(docs_of(spark, [(i, f"{text}\nown {i}") for i in range(5)])).collect()}
+        spent.append(time.monotonic() - began)
+        assert out[4] == (0, f"{text}\nown 4") and all(out[i] == (n, f"own {i}") for i in range(4))
+    assert spent[1] < 3 * spent[0] + 10
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
+def test_runs_are_dropped_after_a_failure(spark):
+    from lexloom.llm.line_dedup import LineRuns, drop_repeated_lines
+
+    docs = docs_of(spark, [(i, "a line that is long enough to be counted in this test\nb") for i in range(6)])
+    add, LineRuns.add = LineRuns.add, lambda self, batch: (add(self, batch), 1 / 0)
+    try:
+        with pytest.raises(ZeroDivisionError):
+            drop_repeated_lines(docs)
+    finally:
+        LineRuns.add = add
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_runs")]

@@ -305,3 +305,43 @@ def test_toxicity_and_language_held_out(spark):
     said = [r for r in identify(docs).collect() if r.held_out]
     assert np.mean([r.lang_pred == spoken[r.doc_id] for r in said]) > 0.98
     assert score_documents is not None
+
+
+def test_quality_cutoffs_and_kept_by_brute_force(spark):
+    """Cutoffs and verdicts recomputed with exact binomial sums; no more good documents are lost than allowed."""
+    from lexloom.llm import quality
+
+    rng = random.Random(11)
+    data, labels = [], []
+    for i in range(6000):
+        lang = ("aa", "bb", "cc")[i % 3] if i % 50 else "rare"
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(60)]
+        noisy = rng.random() < 0.3
+        for k in range(rng.randint(0, 30) if noisy else 0):
+            words[k] = rng.choice(["##", "WORD", "stop!", "x|y"])
+        data.append((i, " ".join(words), lang))
+        labels.append((i, int(not noisy or rng.random() < 0.02), 0))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = quality.measures(docs).select("doc_id", "lang", *[s.alias(r) for r, s in quality._statistics().items()]).collect()
+    good = {i for i, q, _ in labels if q}
+    strata = {r.lang for r in rows if r.doc_id in good}
+    limits = {}
+    for lang in strata:
+        own = [r for r in rows if r.lang == lang and r.doc_id in good]
+        for rule, grid in quality.RULES.items():
+            for cutoff in grid:
+                lost, n, p = sum(r[rule] > cutoff for r in own), len(own), quality.RISK / len(quality.RULES)
+                tail = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(lost + 1))
+                if tail > quality.ERROR / len(quality.RULES) / len(strata):
+                    break
+                limits[lang, rule] = cutoff
+    assert any(lang == "aa" for lang, _ in limits) and not any(lang == "rare" for lang, _ in limits)
+    out = {r.doc_id: r for r in quality.quality_rules(docs, known).collect()}
+    for r in rows:
+        failed = [rule for rule in quality.RULES if r[rule] > limits.get((r.lang, rule), float("inf"))]
+        assert out[r.doc_id].failed_rules == failed and out[r.doc_id].kept == (not out[r.doc_id].base_failed and not failed)
+    assert any(out[i].failed_rules for i in out)
+    for lang in strata:
+        own = [r.doc_id for r in rows if r.lang == lang and r.doc_id in good]
+        assert sum(bool(out[i].failed_rules) for i in own) <= quality.RISK * len(own)
