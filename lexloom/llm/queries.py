@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from . import sql
 from .common import documents
 
 
@@ -47,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _quality,
     "op9_simhash": _on_documents("simhash", "near_duplicates"),
     "op10_packing": _on_documents("packing", "pack"),
+    "op13_merkle_manifest": _on_documents("manifest", "merkle_manifest"),
 }
 SQL: dict[str, str] = {
     "op5_line_dedup": """
@@ -67,4 +69,5 @@ select doc_id, count(*) as n_lines, cast(sum(dropped::int) as bigint) as n_dropp
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
 from judged group by rid, doc_id
 """,
+    "op13_merkle_manifest": sql.MANIFEST,
 }
