@@ -37,6 +37,13 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import conversation_trie
+
+    ship(spark)
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": _on_documents("fingerprints", "document_fingerprints"),
     "op2_toxicity": _toxicity,
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _quality,
     "op9_simhash": _on_documents("simhash", "near_duplicates"),
     "op10_packing": _on_documents("packing", "pack"),
+    "op12_conversation_trie": _trie,
     "op13_merkle_manifest": _on_documents("manifest", "merkle_manifest"),
 }
 SQL: dict[str, str] = {
@@ -69,5 +77,6 @@ select doc_id, count(*) as n_lines, cast(sum(dropped::int) as bigint) as n_dropp
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
 from judged group by rid, doc_id
 """,
+    "op12_conversation_trie": sql.TRIE,
     "op13_merkle_manifest": sql.MANIFEST,
 }

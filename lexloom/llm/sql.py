@@ -57,3 +57,34 @@ select doc_id, leaf, subroot, (select h from tops where n = 1) as root,
        acc as folded_root, acc = (select h from tops where n = 1) as verified
 from folds where k = len(path) + 1
 """
+TRIE = f"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first) as k, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null
+), convs as (
+  select conv_id as c, conv_id - (conv_id % 100 + 100) % 100 as base, {crc32('conv_id')} % 6 as h from (select distinct conv_id from conversations where conv_id is not null)
+), rebuilt as (
+  select c, k as d, role, text from convs join turns on conv_id = base and k <= h
+  union all
+  select c, k - h + (select count(*) from turns t where t.conv_id = base and t.k <= h), role, text from convs join turns on conv_id = c and k > h
+), prefixes as (
+  select c, d, text, md5(string_agg(md5(octet_length(encode(role)) || ':' || role || text), '') over (partition by c order by d)) as p from rebuilt
+  union all
+  select c, 0, '', '' from convs
+), members as (
+  select *, lag(p) over (partition by c order by d) as parent, max(d) over (partition by c) = d as ended from prefixes
+), nodes as (
+  select p, d, min(parent) as parent, min(c) as c, count(*) as n, max(length(text)) as chars,
+         sha256(coalesce(string_agg(c, ',' order by c) filter (ended), '')) as ends_sha256
+  from members group by p, d
+), kids as (
+  select p, d, n, chars, c, (select count(*) from nodes k where k.parent = x.p and k.d = x.d + 1) as n_children from nodes x
+), below as (
+  select m.p, m.d, sum((k.n_children = 0)::int) as n_leaves, sum((k.n - 1) * k.chars) as saved_tokens
+  from kids k join members m on m.c = k.c and m.d <= k.d group by m.p, m.d
+)
+select x.c as conv_id, x.d as depth, o.c as parent_conv_id, x.n as n_convs, k.n_children, cast(b.n_leaves as bigint) as n_leaves,
+       cast(b.saved_tokens as bigint) as saved_tokens, x.ends_sha256
+from nodes x join kids k on x.p = k.p and x.d = k.d join below b on x.p = b.p and x.d = b.d
+left join nodes o on o.p = x.parent and o.d = x.d - 1
+"""
