@@ -55,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _quality,
     "op9_simhash": _on_documents("simhash", "near_duplicates"),
     "op10_packing": _on_documents("packing", "pack"),
+    "op11_source_mix": _on_documents("mixing", "mix_sources"),
     "op12_conversation_trie": _trie,
     "op13_merkle_manifest": _on_documents("manifest", "merkle_manifest"),
 }
