@@ -72,6 +72,19 @@ def test_pipeline_stages(spark, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= docs.count()
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    labels_of(spark, [(3, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
+    names = "__doc __hash __drop __id __a __b __t1 __t2 __kept __clean __row __found row toxicity toxic_spans n_lines n_dropped kept_text spans keeper key kept n".split()
+    docs = docs_of(spark, ROWS).select("doc_id", "text", "n_chars").selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in names), name
+
+
 def test_secret_redaction(spark):
     from lexloom.llm.secrets import redact
 
