@@ -1,4 +1,4 @@
-"""Hybrid retrieval (TOP-01..05, TXT-18..20, AGG-24..28, SET-01..03, RTE-13, 19): vector and lexical search,
+"""Hybrid retrieval (TOP-01, 03..05, TXT-18, 19, AGG-24..28, SET-01..03, RTE-13, 19): vector and lexical search,
 merging, ranking, confidence and context assembly. Queries come as a table, so all of them run in one plan."""
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vectors import clamp01, cosine
 
-K1, B = 1.2, 0.75
 CONFIDENCE = {"relevance": 0.65, "high": 0.65, "top": 0.55, "spread": 0.35, "count": 0.10, "cap": 3}
 
 
@@ -33,32 +32,6 @@ def top_per_query(scored: DataFrame, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(term, key, tf), (term, df) and (key, dl) of the words of a text column."""
-    words = docs.select(key, X.words(F.col(text)).alias("words")).select(key, F.explode("words").alias("term"))
-    tf = words.groupBy("term", key).agg(F.count("*").alias("tf"))
-    return tf, tf.groupBy("term").agg(F.count("*").alias("df")), docs.select(key, F.size(X.words(F.col(text))).alias("dl"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """TXT-20, TOP-02. query_id, key, score, rank by BM25 over the distinct words of each query (query_text).
-
-    Only documents' words that some query has are counted, so the postings that are shuffled are bounded by
-    the matches.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.words(F.col("query_text")))).alias("term"))
-    lengths = docs.select(F.count("*").alias("n"), F.avg(F.size(X.words(F.col(text)))).alias("average"))
-    # The words are a column of their own, or else they would be found anew for each exploded row.
-    words = docs.select(key, X.words(F.col(text)).alias("words")).select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
-    tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(lengths))  # lengths is one row
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average")))
-    scored = rows.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_per_query(scored, key, k)
-
-
 def merge_candidates(*sources: tuple[str, DataFrame], key: str) -> DataFrame:
     """SET-01, SET-02, AGG-24. One row for each query and key: the greatest raw score of the sources, the source
     that gave it and all that found the key."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vectors import centroids, cosine, softmax
 from ..operators import retrieval as R
+from ..operators import search as S
 from .registry import Tables, query
 
 WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+')"
@@ -40,7 +41,7 @@ def _containing(t: Tables) -> DataFrame:
 
 
 def _lexical(t: Tables, k: int = 20) -> DataFrame:
-    return R.bm25(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "doc_id", "text", k)
+    return S.bm25(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "doc_id", "text", k)
 
 
 def _nearest(t: Tables, k: int = 20) -> DataFrame:
@@ -64,6 +65,52 @@ def bm25_topk(t: Tables) -> DataFrame:
     return _lexical(t)
 
 
+#: DuckDB compares bytes of words, so each letter beyond ASCII becomes one capital (words are in lower case).
+LETTERS = "translate({0}, 'àâäçèéêëíîïñóôöùúûüßœæ', 'ABCDEFGHIJKLMNOPQRSTUV')"
+CLAUSES = f"""worded as materialized (select doc_id, {WORDS.format('text')} as w from documents),
+words as materialized (select doc_id, len(w) as dl, unnest(w) as term, generate_subscripts(w, 1) as place from worded),
+lengths as materialized (select count(*) as n_docs, avg(len(w)) as average from worded),
+tf as materialized (select term, doc_id, dl, count(*) as tf from words group by 1, 2, 3),
+df as materialized (select term, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf cross join lengths group by 1),
+asked as materialized (select item_id as query_id, unnest({WORDS.format('text')}) as term, generate_subscripts({WORDS.format('text')}, 1) as place from benchmark),
+terms as (select distinct term, {LETTERS.format('term')} as a, case when length(term) <= 2 then 0 when length(term) <= 5 then 1 else 2 end as edits from asked),
+known as (select term as variant, {LETTERS.format('term')} as b from df),
+variants as materialized (
+  select term, variant, 1 - levenshtein(a, b) / least(length(a), length(b)) as boost from terms join known on abs(length(a) - length(b)) <= edits
+  where case when edits = 0 then a = b else levenshtein(a, b) <= edits end
+  qualify row_number() over (partition by term order by levenshtein(a, b), variant) <= 50
+), weights as (select query_id, variant as term, sum(boost) as weight from (select distinct query_id, term from asked) join variants using (term) where boost > 0 group by 1, 2),
+impacts as materialized (select term, doc_id, dl, idf, average, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average)) as impact from tf join df using (term) cross join lengths),
+any_word as (select query_id, doc_id, sum(weight * impact) as score from weights join impacts using (term) group by 1, 2),
+n_terms as (select query_id, count(distinct term) as n_terms, count(*) as n_words from asked group by 1),
+all_words as materialized (select query_id, doc_id, sum(impact) as score from (select distinct query_id, term from asked) join impacts using (term) join n_terms using (query_id) group by 1, 2 having count(*) = any_value(n_terms)),
+starts as (select a.query_id, w.doc_id, w.place - a.place as start, count(*) as n, sum(idf) as idf, any_value(w.dl) as dl from all_words join asked a using (query_id) join words w on w.term = a.term and w.doc_id = all_words.doc_id join df on df.term = a.term group by 1, 2, 3),
+phrases as (select query_id, doc_id, count(*) as tf, any_value(idf) as idf, any_value(dl) as dl from starts join n_terms using (query_id) where n = n_words group by 1, 2),
+summed as (
+  select query_id, doc_id, round(any_word.score + coalesce(2 * all_words.score, 0) + coalesce(3 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average)), 0), 6) as score
+  from any_word left join all_words using (query_id, doc_id) left join phrases using (query_id, doc_id) cross join lengths
+)"""
+
+
+@query("bm25_clauses", f"""
+with {CLAUSES}
+select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from summed qualify rank <= 20
+""")
+def bm25_clauses(t: Tables) -> DataFrame:
+    """TXT-20, TOP-02. The 20 best documents of each question by its phrase, all its words and any word or spelling variant."""
+    return S.clause_search(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "doc_id", "text", 20)
+
+
+@query("spelling_variants", f"""
+with {CLAUSES} select term, variant, round(boost, 6) as boost from variants where boost > 0
+""")
+def spelling_variants(t: Tables) -> DataFrame:
+    """TXT-20. Words of the documents that the questions' words may stand for."""
+    terms = S.asked_words(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))).select("term").distinct()
+    known = t.documents.select(F.explode(X.words(F.col("text"))).alias("variant")).distinct()
+    return S.spelling_variants(terms, known).withColumn("boost", F.round("boost", 6))
+
+
 @query("hybrid_merge_dedupe", f"""
 with {BM25},
 hay as materialized (select doc_id, {EVIDENCE.format('text')} as h from documents),
