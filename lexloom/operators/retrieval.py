@@ -1,4 +1,4 @@
-"""Hybrid retrieval (TOP-01, 03..05, TXT-18, 19, AGG-24..28, SET-01..03, RTE-13, 19): vector and lexical search,
+"""Hybrid retrieval (TOP-03..05, TXT-18, 19, AGG-24..28, SET-01..03, RTE-13, 19): vector and lexical search,
 merging, ranking, confidence and context assembly. Queries come as a table, so all of them run in one plan."""
 
 from __future__ import annotations
@@ -7,25 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vectors import clamp01, cosine
+from ..functions.vectors import clamp01
 
 CONFIDENCE = {"relevance": 0.65, "high": 0.65, "top": 0.55, "spread": 0.35, "count": 0.10, "cap": 3}
 
 
-def vector_topk(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int, same: str | None = None) -> DataFrame:
-    """TOP-01. query_id, key, score of the k nearest points of each query by cosine, ties by key.
-
-    `queries` has query_id and query_vector, and the tenant column `same` if one is named. It is a stated query
-    set; Spark broadcasts it if its size is below the threshold and else pairs blocks of both sides. Each task
-    keeps k for each query before anything is shuffled (the partial limit of the ranking window).
-    """
-    match = F.lit(True) if same is None else F.col(f"q.{same}") == F.col(f"p.{same}")
-    scored = points.alias("p").join(queries.alias("q"), match).select(
-        F.col("q.query_id"), F.col(f"p.{key}"), cosine(F.col(f"p.{vector}"), F.col("q.query_vector")).alias("score")
-    )
-    return top_per_query(scored, key, k)
-
-
 def top_per_query(scored: DataFrame, key: str, k: int) -> DataFrame:
     """WIN-01. First k of each query by score, with rank from 1."""
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

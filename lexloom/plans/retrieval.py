@@ -10,6 +10,8 @@ from ..functions import text as X
 from ..functions.vectors import centroids, cosine, softmax
 from ..operators import retrieval as R
 from ..operators import search as S
+from ..operators.containing import containing
+from ..operators.nearest import nearest_vectors
 from .registry import Tables, query
 
 WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+')"
@@ -33,11 +35,10 @@ nearest as (select *, row_number() over (partition by query_id order by score de
 
 
 def _containing(t: Tables) -> DataFrame:
-    """item and doc_id of every document that holds a benchmark passage. Both sides are normalised once, before
-    they meet; the benchmark is a stated query set."""
-    needles = t.benchmark.select("item_id", X.normalize_evidence(F.col("text")).alias("needle")).where("needle <> ''")
+    """item and doc_id of every document that holds a benchmark passage, both in normal form."""
+    needles = t.benchmark.select("item_id", X.normalize_evidence(F.col("text")).alias("needle"))
     hay = t.documents.select("doc_id", X.normalize_evidence(F.col("text")).alias("hay"))
-    return hay.join(needles, F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id")
+    return containing(hay, needles, "doc_id", "hay", "item_id", "needle")
 
 
 def _lexical(t: Tables, k: int = 20) -> DataFrame:
@@ -45,12 +46,9 @@ def _lexical(t: Tables, k: int = 20) -> DataFrame:
 
 
 def _nearest(t: Tables, k: int = 20) -> DataFrame:
-    """The stated query set of vectors: those whose id is divisible by 20. No broadcast is forced, as it grows."""
+    """The stated query set of vectors: those whose id is divisible by 20."""
     asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    scored = t.embeddings.join(asked).select(
-        "query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score")
-    )
-    return R.top_per_query(scored, "vec_id", k)
+    return nearest_vectors(t.embeddings, asked, "vec_id", "embedding", k)
 
 
 @query("vector_topk", f"with {VECTORS} select query_id, vec_id, score, cast(rank as integer) as rank from nearest")
