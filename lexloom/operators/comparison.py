@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.sinks import staged
 from . import contracts as C
 from .legal import classify_heading, normalize_title
 from .lines import mark_fences
-from .mapping import assign_greedily, title_similarity
+from .mapping import title_similarity
+from .matching import in_order
+from .values import typed_values, value_changes
 
 #: Lines of running headers that begin no unit (fixed values).
 BOILERPLATE = r"(?iu)^\s*(?:trang\s+\d+|tài\s+liệu\s+mẫu\b|page\s+\d+(?:\s+of\s+\d+)?)\s*$"
@@ -35,9 +38,6 @@ SEMANTIC = {"type": 0.10, "title": 0.14, "lexical": 0.16, "semantic": 0.30, "rer
 SEMANTIC_ACCEPT, SEMANTIC_HIGH, SEMANTIC_LOW, SEMANTIC_MARGIN, SEMANTIC_STRONG = 0.72, 0.84, 0.58, 0.06, 0.80
 NUMBER_BONUS, SIBLING_PENALTY, TYPE_PENALTY = 0.08, 0.22, 0.45
 #: Weights of the alignment of two values (fixed values).
-ALIGN_BASE, ALIGN_CONTEXT, ALIGN_LEAD, ALIGN_UNIT, ALIGN_INDEX, ALIGN_QUALIFIER = 0.35, 0.25, 0.20, 0.10, 0.07, 0.03
-#: Kinds of values in a clause, tried in this order, with their unit.
-VALUES = r"(\d+(?:[.,]\d+)*)\s*(%|percent|usd|vnd|eur|days?|months?|years?|units?)(?![a-z])"
 #: Layers in which a rule is tried, with their weights, and the least score that counts (fixed values).
 LAYERS = {"title": 1.00, "parent": 0.90, "heading": 0.90, "local": 0.95, "body": 0.85}
 ACCEPT_MIN, SECONDARY_MIN, AMBIGUOUS, TITLE_MIN, CONFIDENT = 0.62, 0.62, 0.08, 0.70, 0.80
@@ -256,12 +256,13 @@ def map_level(a: DataFrame, b: DataFrame, pair: str, mapped: DataFrame | None) -
     exact = exact_matches(a, b, pair)
     free = lambda df, at: df.join(exact.select(pair, F.col(at).alias("order_index")), [pair, "order_index"], "left_anti").select(df.columns)
     rest = candidates(free(a, "source"), free(b, "target"), pair, mapped)
-    rest = rest.select(pair, F.col("a.order_index").cast("long").alias("source"), F.col("b.order_index").cast("long").alias("target"), "score", "rank", "second").persist()
-    chosen = assign_greedily(rest.drop("second"), pair, LOW_MIN).withColumnRenamed("score", "best")
+    rest = rest.select(pair, F.col("a.order_index").cast("long").alias("source"), F.col("b.order_index").cast("long").alias("target"), "score", "rank", "second")
+    rest = staged(rest, "mapping_candidates")
+    chosen = in_order(rest.select(pair, "source", "target", "score"), [pair], LOW_MIN).withColumnRenamed("score", "best")
     second = rest.where("rank = 1").select(pair, "source", F.col("second"))
     status = mapping_class(F.col("best"), F.lit(False), F.col("second"))
     taken = chosen.join(second, [pair, "source"], "left").select(pair, "source", "target", F.col("best").alias("score"), status.alias("status"))
-    return exact.unionByName(taken).persist()
+    return staged(exact.unionByName(taken), "mapped_level")
 
 
 def map_units(a: DataFrame, b: DataFrame, pair: str, levels: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
@@ -306,52 +307,11 @@ def diff_counters(diffs: DataFrame, pair: str) -> DataFrame:
     )
 
 
-def typed_values(text: Column) -> Column:
-    """FN-05. Percentages, money, durations and quantities of a clause in order: type, number, unit, index within
-    the type, and the words before and after (FN-07)."""
-    numbers, units = (F.regexp_extract_all(text, F.lit(VALUES), F.lit(k)) for k in (1, 2))
-    left, right = F.split(text, VALUES, -1), F.slice(F.split(text, VALUES, -1), 2, F.greatest(F.size(numbers), F.lit(1)))
-    zipped = F.filter(F.arrays_zip(numbers.alias("number"), units.alias("unit"), left.alias("left"), right.alias("right")), lambda v: v["number"].isNotNull())
-    found = F.transform(zipped, lambda v, i: F.struct(
-        F.when(v["unit"].isin("%", "percent"), "PERCENTAGE").when(v["unit"].isin("usd", "vnd", "eur"), "MONEY").when(v["unit"].rlike("^unit"), "QUANTITY").otherwise("DURATION").alias("type"),
-        C.parse_number(v["number"]).cast("double").alias("number"), F.regexp_replace(v["unit"], "s$", "").alias("unit"),
-        v["left"].alias("left"), v["right"].alias("right"), i.alias("at"),
-    ))
-    numbered = lambda all_of: F.transform(all_of, lambda v: v.withField("index", F.size(F.filter(all_of, lambda w: (w["type"] == v["type"]) & (w["at"] < v["at"])))))
-    return F.get(F.transform(F.array(found), numbered), F.lit(0))  # the values are found once
-
-
-def alignment_score(x: Column, y: Column) -> Column:
-    """FN-11. How well two values of one type belong together."""
-    around = X.jaccard(X.words(F.concat_ws(" ", x["left"], x["right"])), X.words(F.concat_ws(" ", y["left"], y["right"])))
-    total = (
-        ALIGN_BASE + ALIGN_CONTEXT * around + ALIGN_LEAD * X.jaccard(X.words(x["left"]), X.words(y["left"]))
-        + ALIGN_UNIT * F.when(x["unit"] == y["unit"], 1.0).otherwise(0.35) + ALIGN_INDEX * F.when(x["index"] == y["index"], 1.0).otherwise(0.4) + ALIGN_QUALIFIER
-    )
-    return F.when(x["type"] == y["type"], total).otherwise(F.lit(0.0))
-
-
 def exact_changes(diffs: DataFrame, pair: str) -> DataFrame:
-    """CMP-13, JOIN-21. Values of modified units that changed. Values align with those of the same type that fit
-    each other best on both sides; what aligns with nothing is added or removed."""
-    rows = diffs.where("classification = 'MODIFIED'").select(pair, "source", "target", typed_values(F.col("a.body")).alias("x"), typed_values(F.col("b.body")).alias("y")).persist()
+    """CMP-13. Values of modified units that changed, see value_changes()."""
     key = [pair, "source", "target"]
-    old = rows.select(*key, F.explode("x").alias("old"))
-    new = rows.select(*key, F.explode("y").alias("new"))
-    both = old.withColumn("t", F.col("old.type")).join(new.withColumn("t", F.col("new.type")), [*key, "t"]).withColumn("fit", alignment_score(F.col("old"), F.col("new")))
-    order = (F.desc("fit"), F.abs(F.col("old.at") - F.col("new.at")))
-    best_old = F.row_number().over(Window.partitionBy(*key, "old.at").orderBy(*order, "new.at"))
-    best_new = F.row_number().over(Window.partitionBy(*key, "new.at").orderBy(*order, "old.at"))
-    met = both.withColumn("i", best_old).withColumn("j", best_new).where("i = 1 and j = 1").select(*key, "old", "new")
-    gone = old.join(met.select(*key, F.col("old.at").alias("__at")), [*[old[k] == met[k] for k in key], F.col("old.at") == F.col("__at")], "left_anti")
-    come = new.join(met.select(*key, F.col("new.at").alias("__at")), [*[new[k] == met[k] for k in key], F.col("new.at") == F.col("__at")], "left_anti")
-    every = met.unionByName(gone.withColumn("new", F.lit(None).cast(new.schema["new"].dataType))).unionByName(come.withColumn("old", F.lit(None).cast(old.schema["old"].dataType)))
-    a, b = F.col("old.number"), F.col("new.number")
-    towards = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").otherwise(C.direction(a, b))
-    return every.select(
-        *key, F.coalesce("old.type", "new.type").alias("type"), a.alias("old"), b.alias("new"), (b - a).alias("delta"),
-        F.when(a != 0, F.round((b - a) * 100 / a, 4)).alias("relative"), towards.alias("direction"), F.coalesce(F.col("old.unit") == F.col("new.unit"), F.lit(True)).alias("same_unit"),
-    ).where("direction <> 'UNCHANGED' or not same_unit")
+    rows = staged(diffs.where("classification = 'MODIFIED'").select(*key, F.col("a.body").alias("a"), F.col("b.body").alias("b")), "modified_units")
+    return value_changes(typed_values(rows, key, "a"), typed_values(rows, key, "b"), key)
 
 
 def match_rules(rows: DataFrame, key: list[str], fields: dict[str, Column], rules) -> DataFrame:

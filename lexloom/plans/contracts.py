@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import contracts as C
+from ..operators.matching import best_first, in_order
 from ..sources.tables import markdown_lines
 from .registry import Tables, query
 
@@ -146,10 +147,51 @@ def mapping_candidates(t: Tables) -> DataFrame:
 
 @query("clause_mapping")
 def clause_mapping(t: Tables) -> DataFrame:
-    """JOIN-19. One-to-one mapping in document order; greedy choice has no SQL form."""
-    from ..operators.mapping import assign_greedily, candidates
+    """JOIN-19. One-to-one mapping of lines in document order by word overlap."""
+    from ..operators.mapping import candidates
+
+    return in_order(candidates(*_versions(t), "pair").select("pair", "source", "target", "score"), ["pair"], 0.1)
+
+
+#: Orders and parts of each supplier in 40 groups each, so that many want the same.
+WANTED = """e as (select l_suppkey as supplier, l_orderkey % 40 as source, l_partkey % 40 as target, max(l_quantity)::double / 50 as score from lineitem group by 1, 2, 3)"""
+
 
-    return assign_greedily(candidates(*_versions(t), "pair"), "pair", 0.1)
+def _wanted(t: Tables) -> DataFrame:
+    score = (F.max("l_quantity").cast("double") / 50).alias("score")
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("supplier"), (F.col("l_orderkey") % 40).alias("source"), (F.col("l_partkey") % 40).alias("target")).agg(score)
+
+
+@query("greedy_matching", f"""
+with recursive {WANTED}, pick as (
+  select supplier, []::bigint[] as sources, []::bigint[] as targets, null::struct(s bigint, t bigint, score double) as edge from e group by 1
+  union all
+  select p.supplier, list_append(p.sources, arg_max(e.source, (e.score, -e.source, -e.target))), list_append(p.targets, arg_max(e.target, (e.score, -e.source, -e.target))),
+    {{'s': arg_max(e.source, (e.score, -e.source, -e.target)), 't': arg_max(e.target, (e.score, -e.source, -e.target)), 'score': max(e.score)}}
+  from pick p join e on e.supplier = p.supplier and e.score >= 0.28 and not list_contains(p.sources, e.source) and not list_contains(p.targets, e.target)
+  group by p.supplier, p.sources, p.targets
+)
+select supplier, edge.s as source, edge.t as target, edge.score as score from pick where edge is not null
+""")
+def greedy_matching(t: Tables) -> DataFrame:
+    """JOIN-21. Contested pairs taken by best score, each side once, not below 0.28."""
+    return best_first(_wanted(t), ["supplier"], 0.28)
+
+
+@query("ordered_matching", f"""
+with recursive {WANTED}, turn as (
+  select supplier, -1::bigint as source, []::bigint[] as targets, null::bigint as target, null::double as score from e group by 1
+  union all
+  select p.supplier, p.source + 1, case when count(e.target) = 0 then p.targets else list_append(p.targets, arg_max(e.target, (e.score, -e.target))) end,
+    arg_max(e.target, (e.score, -e.target)), max(e.score)
+  from turn p left join e on e.supplier = p.supplier and e.source = p.source + 1 and e.score >= 0.28 and not list_contains(p.targets, e.target)
+  where p.source < 39 group by p.supplier, p.source, p.targets
+)
+select supplier, source, target, score from turn where target is not null
+""")
+def ordered_matching(t: Tables) -> DataFrame:
+    """JOIN-19. Sources in order take their best target that is still free."""
+    return in_order(_wanted(t), ["supplier"], 0.28)
 
 
 @query("citation_check", """

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,14 +69,40 @@ def render_markdown(blocks: DataFrame, report: str, order: str, title: str, body
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """CMP-23. A stage's result written as Parquet and read again, so that what follows has a short plan and a lost executor
-    repeats no stage. It lies in the shared folder of spark.checkpoint.dir; only local sessions may lack one."""
+    repeats no stage. It lies in the shared folder of spark.checkpoint.dir; only local sessions may lack one, and have one
+    temporary folder. The files stay until release() or release_since() is called."""
     spark = df.sparkSession
     context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or getattr(context, "_lexloom_local", None)
     if not where:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lexloom-stages-")
+        where = context._lexloom_local = "file://" + tempfile.mkdtemp(prefix="lexloom-stages-")
     path = f"{where.rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    context._lexloom_stages = [*getattr(context, "_lexloom_stages", ()), path]
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._lexloom_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._lexloom_path)
+
+
+def staged_so_far(spark: SparkSession) -> int:
+    return len(getattr(spark.sparkContext, "_lexloom_stages", ()))
+
+
+def release_since(spark: SparkSession, mark: int = 0) -> None:
+    """Delete all stages since staged_so_far() gave `mark`: after a query's result is written or collected."""
+    for path in getattr(spark.sparkContext, "_lexloom_stages", ())[mark:]:
+        _delete(spark, path)
+    spark.sparkContext._lexloom_stages = list(getattr(spark.sparkContext, "_lexloom_stages", ()))[:mark]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
