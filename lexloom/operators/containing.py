@@ -63,24 +63,27 @@ def _anchors(kinds: list[tuple[int, int]] | None):
     return run
 
 
-def places(texts: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
+def places(texts: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str, own: str | None = None) -> DataFrame:
     """passage_key, key and start (from 0) of every place where a text contains a passage. Empty and null ones are nowhere.
 
-    Both are compared as they are, so bring them into one form before. Repeated keys have places of each row; rows
+    With `own`, a field of the struct passage_key, a passage is looked for only in the text whose key that field is. Both are compared as they are, so bring them into one form before. Repeated keys have places of each row; rows
     without key have none.
     """
     needles = passages.where(F.col(passage) != "").select(F.col(passage_key).alias("key"), F.col(passage).alias("text"))
     needles = staged(needles, "passages")
     spark, kind = texts.sparkSession, lambda df: dict(df.dtypes)["key"]
-    known = staged(needles.mapInArrow(_anchors(None), f"key {kind(needles)}, {ANCHORS}"), "passage_anchors")
+    known = needles.mapInArrow(_anchors(None), f"key {kind(needles)}, {ANCHORS}")
+    known = staged(known.withColumn("of", F.col(f"key.{own}") if own else F.lit(0)), "passage_anchors")
+    on = ["of", "gram", "hash"]
     lengths = [r.n for r in needles.select(F.when(F.length("text") < 32, F.length("text")).otherwise(32).alias("n")).distinct().collect()]  # at most 32
     hay = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text <> ''")
     hay_anchors = hay.mapInArrow(_anchors(sorted({class_of(n) for n in lengths})), f"key {kind(hay)}, {ANCHORS}")
-    hay_anchors = staged(hay_anchors.join(known.select("gram", "hash").distinct(), ["gram", "hash"], "left_semi"), "text_anchors")
-    counts = known.join(hay_anchors.groupBy("gram", "hash").agg(F.count("*").alias("n")), ["gram", "hash"], "left")
+    hay_anchors = hay_anchors.withColumn("of", F.col("key") if own else F.lit(0))
+    hay_anchors = staged(hay_anchors.join(known.select(*on).distinct(), on, "left_semi"), "text_anchors")
+    counts = known.join(hay_anchors.groupBy(*on).agg(F.count("*").alias("n")), on, "left")
     # An anchor that no text has rules its passage out.
-    rarest = counts.groupBy(F.col("key").alias("item")).agg(F.min_by(F.struct("gram", "hash", F.col("at").alias("offset")), F.struct(F.coalesce("n", F.lit(0)), "at")).alias("a"))
-    found = hay_anchors.join(rarest.select("item", "a.*"), ["gram", "hash"]).select("key", "item", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+    rarest = counts.groupBy(F.col("key").alias("item")).agg(F.min_by(F.struct(*on, F.col("at").alias("offset")), F.struct(F.coalesce("n", F.lit(0)), "at")).alias("a"))
+    found = hay_anchors.join(rarest.select("item", "a.*"), on).select("key", "item", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
     found = staged(found.join(needles.select(F.col("key").alias("item"), F.col("text").alias("needle")), "item"), "candidate_places")
     few = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     same = F.substring("text", (F.col("start") + 1).cast("int"), F.length("needle")) == F.col("needle")
