@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.containing import places
 from ..operators.lines import html_headings
 from ..operators.routing import heading_score
 from ..sources.tables import markdown_lines
@@ -130,9 +131,9 @@ from n join documents on contains(text, needle)
 def snippet_spans(t: Tables) -> DataFrame:
     """TXT-23, VER-08. Where a passage stands in a document, word for word."""
     needles = t.benchmark.select("item_id", F.col("text").alias("needle"))
-    rows = t.documents.join(needles, F.col("text").contains(F.col("needle")))
-    start = F.position(F.col("needle"), F.col("text")) - 1
-    return rows.select("item_id", "doc_id", start.alias("start"), (start + F.length("needle")).alias("end_at"))
+    found = places(t.documents, needles, "doc_id", "text", "item_id", "needle").groupBy("item_id", "doc_id").agg(F.min("start").cast("int").alias("start"))
+    rows = found.join(needles, "item_id")
+    return rows.select("item_id", "doc_id", "start", (F.col("start") + F.length("needle")).alias("end_at"))
 
 
 @query("run_durations", """

@@ -12,7 +12,7 @@ from ..sources.tables import read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("relational", "ingestion", "retrieval", "graphs", "routing", "evaluation", "contracts", "events", "timeline", "collections", "comparison", "answers")
+_MODULES = ("relational", "ingestion", "retrieval", "graphs", "routing", "evaluation", "contracts", "events", "timeline", "collections", "comparison", "answers", "locators")
 
 
 class Tables:
