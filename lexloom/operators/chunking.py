@@ -3,6 +3,8 @@ greedy packing carries a state along a document and runs in one fold per documen
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,36 +26,49 @@ def token_windows(tokens: Column, size: int, ratio: float = 0.12) -> Column:
     return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, F.lit(size)).alias("tokens")))
 
 
+def _numbered(sizes: Column, separator: int, end_of) -> Column:
+    """Number of the chunk of each unit. end_of(sums, first, used) gives where the chunk that starts at `first` ends, and what the next
+    one carries over, by binary search in the running totals: time is linear in the units, however many there are."""
+
+    def one(row) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(np.asarray(row, np.int64) + separator)])
+        starts, first, carry = [], 0, 0
+        while first < len(row):
+            starts.append(first)
+            first, carry = end_of(sums, first, carry)
+        return np.repeat(np.arange(len(starts), dtype=np.int32), np.diff([*starts, len(row)]))
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: None if row is None else one(row))
+
+    return F.pandas_udf(run, "array<int>")(sizes)
+
+
 def pack_units(sizes: Column, target_min: int = 500, target_max: int = 800, hard: int = 1000, separator: int = 1, overlap: int = 100) -> Column:
     """WIN-15. Chunk number of each unit, from the units' token counts in order.
 
     A unit joins the open chunk while the sum stays in the target, or under the hard limit if the chunk is
     still below the target; else it opens a new one, which begins with the overlap of the last.
     """
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
 
-    def step(s, size):
-        projected = s["used"] + separator + size
-        fits = (s["chunk"] >= 0) & ((projected <= target_max) | ((projected <= hard) & (s["used"] < target_min)))
-        chunk = F.when(fits, s["chunk"]).otherwise(s["chunk"] + 1)
-        carried = F.when(s["chunk"] >= 0, F.least(s["used"], F.lit(overlap)) + separator).otherwise(F.lit(0))
-        used = F.when(fits, projected).otherwise(carried + size)
-        return F.struct(chunk.alias("chunk"), used.cast("long").alias("used"), F.array_append(s["out"], chunk).alias("out"))
+    def end_of(sums, first, carry):
+        base = sums[first] + separator - carry  # a chunk of first to k - 1 has sums[k] - base tokens
+        end = max(first + 1, int(np.searchsorted(sums, target_max + base, "right")) - 1)
+        if end + 1 < len(sums) and sums[end] - base < target_min and sums[end + 1] - base <= hard:
+            end += 1
+        return end, min(sums[end] - base, overlap) + separator if overlap else 0
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    return _numbered(sizes, separator, end_of)
 
 
 def batches(sizes: Column, budget: int) -> Column:
     """WIN-26, WIN-20. Batch number of each unit: a unit that overflows the budget opens the next batch."""
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
 
-    def step(s, size):
-        over = (s["used"] > 0) & (s["used"] + size > budget)
-        batch = F.when(over, s["batch"] + 1).otherwise(s["batch"])
-        used = F.when(over, size).otherwise(s["used"] + size)
-        return F.struct(batch.alias("batch"), used.cast("long").alias("used"), F.array_append(s["out"], batch).alias("out"))
+    def end_of(sums, first, carry):
+        end = int(np.searchsorted(sums, sums[first] + budget, "right")) - 1
+        return (end + 1 if sums[end] == sums[first] else end), 0  # units without tokens go with the next
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    return _numbered(sizes, 0, end_of)
 
 
 def fit_prefix(rows: DataFrame, group: list[str], order: list[Column], tokens: str, content: str, budget: int, least: int = 64) -> DataFrame:

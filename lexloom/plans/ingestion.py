@@ -214,6 +214,26 @@ def pack_units(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id", F.col("u.chunk").alias("chunk_index")).agg(F.count("*").alias("n_units"), content.alias("content"))
 
 
+@query("packed_lines", f"""
+with recursive {LINES}, s as (select doc_id, line_no, greatest(1, length(line) // 4) as size from lines where length(line) > 0),
+o as materialized (select doc_id, row_number() over (partition by doc_id order by line_no) as k, size from s),
+b as (
+  select doc_id, k, size as used, 0 as chunk from o where k = 1
+  union all
+  select o.doc_id, o.k, case when b.used + 1 + o.size <= 160 or (b.used + 1 + o.size <= 200 and b.used < 100) then b.used + 1 + o.size else least(b.used, 20) + 1 + o.size end,
+         case when b.used + 1 + o.size <= 160 or (b.used + 1 + o.size <= 200 and b.used < 100) then b.chunk else b.chunk + 1 end
+  from b join o on o.doc_id = b.doc_id and o.k = b.k + 1
+)
+select doc_id, chunk, count(*) as n_units, min(k) as first_unit from b group by 1, 2
+""")
+def packed_lines(t: Tables) -> DataFrame:
+    """WIN-15. Lines of every document packed into chunks of 100 to 160 estimated tokens, 200 at most, with an overlap of 20."""
+    units = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) > 0)
+    chunks = C.pack_units(F.transform(units, X.estimated_tokens), 100, 160, 200, 1, 20)
+    rows = t.documents.select("doc_id", F.posexplode(chunks).alias("at", "chunk"))
+    return rows.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_units"), (F.min("at") + 1).cast("long").alias("first_unit"))
+
+
 @query("batch_assignment", f"""
 with recursive {LINES}, s as (select doc_id, line_no, greatest(1, length(line) // 4) as size from lines where length(line) > 0),
 o as (select doc_id, row_number() over (partition by doc_id order by line_no) as k, size from s),
