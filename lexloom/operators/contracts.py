@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import release, staged
+
 #: Risk score of each category, its direction policy, and the steps added to it (fixed values).
 CATEGORY_BASE = {
     "LIABILITY": 40.0, "TERMINATION": 38.0, "DATA_PROTECTION": 38.0, "INTELLECTUAL_PROPERTY": 36.0, "DISPUTE_RESOLUTION": 32.0,
@@ -130,6 +132,30 @@ def subtree_status(rows: DataFrame, key: str, status: str) -> DataFrame:
     return rows.join(changed, key).withColumn("subtree_status", F.when(F.col("changed"), "MODIFIED").otherwise(F.col(status))).drop("changed")
 
 
+#: Classes that make an ancestor MODIFIED, and those that leave it open (fixed values).
+DIRTY, OPEN = ("ADDED", "REMOVED", "MODIFIED"), ("AMBIGUOUS_MAPPING", "UNKNOWN")
+
+
+def tree_status(rows: DataFrame, group: str, node: str, parent: str, status: str) -> DataFrame:
+    """AGG-46. `rows` with subtree_status: MODIFIED if any node of the subtree changed, else AMBIGUOUS_MAPPING if any is open, else the
+    node's own class. Trees may have any depth: each round sends what a node knows of its subtree twice as far up, to the
+    ancestor that it points to, and doubles the pointers. Parents that aren't there are no parents; nodes are unique in a group.
+    """
+    rank = F.when(F.col(status).isin(*DIRTY), 2).when(F.col(status).isin(*OPEN), 1).otherwise(0)
+    there = rows.select(group, F.col(node).alias("up"))
+    known = rows.select(group, F.col(node).alias("node"), F.col(parent).alias("up"), rank.alias("worst"))
+    state = staged(known.join(there, [group, "up"], "left_semi").unionByName(known.join(there, [group, "up"], "left_anti").withColumn("up", F.lit(None))), "subtrees")
+    while state.where("up is not null").first():
+        sent = state.where("up is not null and worst > 0").groupBy(group, F.col("up").alias("node")).agg(F.max("worst").alias("below"))
+        further = state.select(group, F.col("node").alias("up"), F.col("up").alias("further"))
+        moved = state.join(sent, [group, "node"], "left").join(further, [group, "up"], "left")
+        before, state = state, staged(moved.select(group, "node", F.col("further").alias("up"), F.greatest("worst", F.coalesce("below", F.lit(0))).alias("worst")), "subtrees")
+        release(before)
+    worst = state.select(group, F.col("node").alias(node), "worst")
+    found = F.when(F.col("worst") == 2, "MODIFIED").when(F.col("worst") == 1, "AMBIGUOUS_MAPPING").otherwise(F.col(status))
+    return rows.join(worst, [group, node]).withColumn("subtree_status", found).drop("worst")
+
+
 def unit_number(raw: Column, unit_type: Column) -> Column:
     """TXT-30. Number of a unit without leading zeros, an appendix's as it is."""
     bare = F.regexp_replace(F.btrim(raw), r"\.+$", "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import clamp01
+from ..sources.sinks import staged
 
 CONFIDENCE = {"relevance": 0.65, "high": 0.65, "top": 0.55, "spread": 0.35, "count": 0.10, "cap": 3}
 
@@ -80,3 +81,16 @@ def coverage_score(rows: DataFrame, group: str, section: str, page: str, score:
     relevance = F.least(F.lit(1.0), F.coalesce("relevance", F.lit(0.0)))
     kept = F.when(F.col("reranked") > 0, F.least(F.lit(1.0), F.col("n") / F.col("reranked"))).otherwise(0.0)
     return found.select(group, F.round(0.35 * diversity + 0.15 * pages + 0.35 * relevance + 0.15 * kept, 4).alias("coverage"))
+
+
+def gated_second_pass(queries: DataFrame, retrieve, rewrite, config: dict = CONFIDENCE) -> DataFrame:
+    """RTE-17. Rows of one or two passes, with `pass`: queries whose first result has low confidence, or none at all, are rewritten
+    and retrieved once more; the others are kept from the second retrieval by the semi-join, and appear in pass 1 only.
+
+    retrieve(queries) gives query_id, a key, score and rank; rewrite(queries) gives queries with another query_text.
+    """
+    first = staged(retrieve(queries), "first_pass")
+    sure = confidence(first, config).where("level = 'high'").select("query_id")
+    again = staged(rewrite(queries.join(sure, "query_id", "left_anti")), "rewritten")
+    one = first.withColumn("pass", F.lit(1))
+    return one.unionByName(retrieve(again).withColumn("pass", F.lit(2))) if again.first() else one

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import contracts as C
+from ..operators.extraction import table_cells
 from ..operators.matching import best_first, in_order
 from ..sources.tables import markdown_lines
 from .registry import Tables, query
@@ -153,6 +154,61 @@ def clause_mapping(t: Tables) -> DataFrame:
     return in_order(candidates(*_versions(t), "pair").select("pair", "source", "target", "score"), ["pair"], 0.1)
 
 
+STATUSES = ("MODIFIED", "ADDED", "AMBIGUOUS_MAPPING", "UNKNOWN")
+
+
+@query("subtree_status", """
+with recursive o as (select o_custkey as tree, row_number() over (partition by o_custkey order by o_orderkey) as node, o_orderkey from orders),
+n as (select tree, node, case when node > 1 then greatest(1, node - 1 - node % 3) end as parent,
+  case o_orderkey % 60 when 0 then 'MODIFIED' when 1 then 'ADDED' when 2 then 'AMBIGUOUS_MAPPING' when 3 then 'UNKNOWN' else 'UNCHANGED' end as status from o),
+below as (
+  select tree, node as top, node, status from n
+  union all
+  select b.tree, b.top, n.node, n.status from below b join n on n.tree = b.tree and n.parent = b.node
+)
+select n.tree, n.node, any_value(n.status) as status, case when bool_or(b.status in ('MODIFIED', 'ADDED')) then 'MODIFIED'
+  when bool_or(b.status in ('AMBIGUOUS_MAPPING', 'UNKNOWN')) then 'AMBIGUOUS_MAPPING' else any_value(n.status) end as subtree_status
+from n join below b on b.tree = n.tree and b.top = n.node group by 1, 2
+""")
+def subtree_status(t: Tables) -> DataFrame:
+    """AGG-46. Orders of a customer as a tree of a dozen levels and more; what happened below decides a node's class."""
+    node = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    rows = t.orders.select(F.col("o_custkey").alias("tree"), node.alias("node"), (F.col("o_orderkey") % 60).alias("r"))
+    status = F.coalesce(F.get(F.array(*map(F.lit, STATUSES)), F.col("r").cast("int")), F.lit("UNCHANGED"))
+    parent = F.when(F.col("node") > 1, F.greatest(F.lit(1), F.col("node") - 1 - F.col("node") % 3))
+    return C.tree_status(rows.select("tree", "node", parent.alias("parent"), status.alias("status")), "tree", "node", "parent", "status").drop("parent")
+
+
+@query("payload_tables", """
+with i as (select l_orderkey as id, l_linenumber as line, cast(l_quantity as integer) as qty, l_returnflag as mode, l_linestatus as status from lineitem),
+s as (select *, case id % 5 when 0 then '[' || line || ', ' || qty || ']' when 1 then '{"metric": "' || mode || '", "value": ' || qty || ', "context": "' || status || '"}'
+  when 2 then '{"id": ' || line || ', "name": "' || mode || '"' else mode end as item from i),
+l as (select *, row_number() over (partition by id order by line, item) - 1 as row_no from s),
+c as (
+  select id, row_no, unnest([0, 1]) as column_no, unnest(['line', null]) as header, unnest([line::varchar, qty::varchar]) as value from l where id % 5 = 0
+  union all select id, row_no, unnest([0, 1, 2, 3]), unnest(['metric', 'value', 'unit', 'context']), unnest([mode, qty::varchar, null, status]) from l where id % 5 = 1
+  union all select id, row_no, unnest([0, 1, 2, 3]), unnest(['id', 'name', 'type', 'description']), unnest([line::varchar, mode, 'ORG', null]) from l where id % 5 = 2
+  union all select id, row_no, unnest([0, 1, 2]), unnest(['date_or_period', 'event', 'source_chunk_id']), unnest(['Q' || line, mode, id::varchar]) from l where id % 5 = 3
+)
+select id, cast(row_no as integer) as row_no, column_no, header, value from c
+""")
+def payload_tables(t: Tables) -> DataFrame:
+    """FN-25. Cells of payloads of four shapes, one of them with a header too few; every fifth payload is broken off."""
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p[0].cast("string") for p in parts])
+    line, qty, mode, status, order = ([F.col(c)] for c in ("l_linenumber", "qty", "l_returnflag", "l_linestatus", "l_orderkey"))
+    kinds = (
+        ("table", '{"headers": ["line"], "rows": [', said("[", line, ", ", qty, "]")), ("figures", '{"figures": [', said('{"metric": "', mode, '", "value": ', qty, ', "context": "', status, '"}')),
+        ("entities", '{"entities": [', said('{"id": ', line, ', "name": "', mode, '", "type": "ORG", "description": null}')),
+        ("timeline", '{"events": [', said('{"date_or_period": "Q', line, '", "event": "', mode, '", "source_chunk_id": ', order, "}")), ("figures", '{"figures": [{"metric": ', said(qty)),
+    )
+    which = F.col("l_orderkey") % 5
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) if isinstance(x[k], str) else x[k] for x in kinds]), (which + 1).cast("int"))
+    items = t.lineitem.withColumn("qty", F.col("l_quantity").cast("int")).select(F.col("l_orderkey").alias("id"), "l_linenumber", pick(0).alias("kind"), pick(1).alias("head"), pick(2).alias("item"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "item"))), lambda s: s["item"]), ", ")
+    rows = items.groupBy("id", "kind", "head").agg(body.alias("body")).select("id", "kind", F.concat("head", "body", F.lit("]}")).alias("payload"))
+    return table_cells(rows, "id", "kind", "payload")
+
+
 #: Orders and parts of each supplier in 40 groups each, so that many want the same.
 WANTED = """e as (select l_suppkey as supplier, l_orderkey % 40 as source, l_partkey % 40 as target, max(l_quantity)::double / 50 as score from lineitem group by 1, 2, 3)"""
 

@@ -164,6 +164,36 @@ def confidence_score(t: Tables) -> DataFrame:
     return rows.select("query_id", "top_score", F.round("score_spread", 6).alias("score_spread"), "above", F.round("confidence", 6).alias("confidence"), "level")
 
 
+@query("gated_second_pass", f"""
+with {RERANK},
+t as (select query_id, max(score) filter (rank = 1) as top_score, max(score) filter (rank = 2) as second, count(*) filter (score >= 0.65) as above from final group by 1),
+sure as (select query_id from (select *, coalesce(top_score - second, top_score) as spread, least(greatest(top_score, 0), 1) as top from t)
+  where least(greatest(0.55 * top + 0.35 * top * least(greatest(spread, 0), 1) + 0.1 * least(1.0, above / 3), 0), 1) >= 0.65),
+rewritten as (select item_id as query_id, list_filter({WORDS.format('text')}, lambda w: length(w) > 4)[1:8] as w from benchmark where item_id not in (select query_id from sure)),
+asked2 as (select query_id, unnest(list_distinct(w)) as term from rewritten),
+lexical2 as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average))), 6) as raw
+  from tf join df using (term) join asked2 using (term) cross join lengths group by 1, 2 qualify row_number() over (partition by query_id order by round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average))), 6) desc, doc_id) <= 20),
+pairs2 as (select l.*, list_distinct(r.w) as q, list_distinct(d.w) as w from lexical2 l join rewritten r using (query_id) join worded d using (doc_id)),
+second_pass as (select query_id, doc_id, round(0.7 * case when len(q) = 0 then 0 else len(list_intersect(q, w)) / len(q) end + 0.3 * greatest(raw, 0) / (1 + greatest(raw, 0)), 6) as score from pairs2)
+select query_id, doc_id, score, cast(rank as integer) as rank, 1 as pass from final
+union all select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer), 2 from second_pass
+""")
+def gated_second_pass(t: Tables) -> DataFrame:
+    """RTE-17. Questions with an uncertain first result are cut to their first eight longer words and asked again."""
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        rows = S.bm25(t.documents, asked, "doc_id", "text", 20).join(t.documents.select("doc_id", "text"), "doc_id").join(asked, "query_id")
+        score = F.round(R.heuristic_score(F.col("query_text"), F.col("text"), F.col("score")), 6)
+        return R.top_per_query(rows.select("query_id", "doc_id", score.alias("score")), "doc_id", 20)
+
+    def rewrite(asked: DataFrame) -> DataFrame:
+        longer = F.slice(F.filter(X.words(F.col("query_text")), lambda w: F.length(w) > 4), 1, 8)
+        return asked.select("query_id", F.array_join(longer, " ").alias("query_text"))
+
+    return R.gated_second_pass(queries, retrieve, rewrite)
+
+
 @query("document_diversity", f"with {RERANK} select query_id, count(distinct case when rank <= 5 then source end) as n_documents from final join documents using (doc_id) group by 1")
 def document_diversity(t: Tables) -> DataFrame:
     """AGG-26. Sources among the first five."""
