@@ -316,9 +316,14 @@ def exact_changes(diffs: DataFrame, pair: str) -> DataFrame:
 
 def match_rules(rows: DataFrame, key: list[str], fields: dict[str, Column], rules) -> DataFrame:
     """CMP-15, AGG-48. The best hit of every category: a rule matches a layer if one of its patterns does and none of
-    its negatives; its score is its weight times the layer's. `rules` are (rule, category, weight, patterns, negatives)."""
+    its negatives; its score is its weight times the layer's. `rules` are (rule, category, weight, patterns, negatives), for
+    folded text, so the fields are folded: lower case, without accents, single blanks."""
     hits = []
-    for layer, text in fields.items():
+    names = {layer: f"__{layer}" for layer in fields}
+    folded = lambda text: F.btrim(F.regexp_replace(X.fold_accents(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    rows = rows.select(*key, *[folded(text).alias(names[layer]) for layer, text in fields.items()])
+    for layer in fields:
+        text = F.col(names[layer])
         for rule, category, weight, patterns, negatives in rules:
             hit = text.rlike("|".join(f"(?:{p})" for p in patterns))
             if negatives:

@@ -107,3 +107,16 @@ def test_residual_matching_equals_sequential_choice(spark, seed):
     accepts = (F.col("score") >= 0.3) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= 0.1))
     found = matching.by_best_option(as_frame(spark, rows), ["g"], accepts, 0.05, 0.5)
     assert {(r.g, r.source): (r.status, r.target) for r in found.collect()} == expected
+
+
+def test_categories_of_folded_text(spark):
+    """Rules are for folded text; accents, capitals and wide blanks make no difference, in any layer."""
+    from lexloom.operators import comparison as K
+    from lexloom.operators.taxonomy import RULES
+
+    texts = ["Giới hạn  trách nhiệm", "gioi han trach nhiem", "Limitation of Liability", "LIMITATION OF LIABILITY", "weather report", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for layer in ("title", "heading", "local", "body"):
+        hits = {(r.id, r.category) for r in K.match_rules(rows, ["id"], {layer: F.col("t")}, RULES).collect()}
+        assert {i for i, c in hits if c == "LIABILITY"} == {0, 1, 2, 3}, layer
+        assert not {i for i, _ in hits} & {4, 5}
