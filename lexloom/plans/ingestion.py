@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import headers as H
 from ..operators import lines as L
 from ..sources.tables import detect_file_type, markdown_lines
 from .registry import Tables, query
@@ -318,3 +319,41 @@ def running_headers(t: Tables) -> DataFrame:
     rows = markdown_lines(t.documents, "doc_id").join(t.documents.select("doc_id", "source"), "doc_id")
     found = L.majority_line(rows, ["source"], "line", 0.005)
     return found.select("source", "key", "n", "line", F.round("share", 6).alias("share"))
+
+
+EDGES = """
+e as (select doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as l from documents),
+edges as (select doc_id, source, 'header' as edge, l[1] as line from e where len(l) > 0
+          union all select doc_id, source, 'footer', l[-1] from e where len(l) > 1),
+k as (select *, strip_accents(regexp_replace(regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))),
+  '\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b', '<date>', 'g'), '\\d+', '#', 'g')) as key from edges),
+x as (select source, edge, key, line, count(*) as n from k where length(line) between 3 and 120 and key <> '' group by all),
+g as (select source, edge, key, sum(n)::bigint as n, first(line order by n desc, line) as line from x group by all),
+t as (select source, edge, count(*) as total from k group by all),
+c as (select g.*, total from g join t using (source, edge) where n >= 0.1 * 0.02 * total),
+s as (select c.source, c.edge, c.key, any_value(c.line) as line, any_value(c.n) as n_exact, sum(g.n)::bigint as n_fuzzy, any_value(total) as total
+  from c join g on c.source = g.source and c.edge = g.edge and abs(length(c.key) - length(g.key)) <= 2 and levenshtein(c.key, g.key) <= 2 group by 1, 2, 3),
+h as (select *, n_fuzzy / total as share from s where n_fuzzy / total >= 0.02
+  qualify row_number() over (partition by source, edge order by n_fuzzy desc, n_exact desc, key) = 1)
+"""
+
+
+def _edges(t: Tables) -> DataFrame:
+    return H.edge_lines(t.documents.select(F.struct("doc_id", "source").alias("of"), "text"), "of", "text").select("of.*", "edge", "line")
+
+
+@query("noisy_running_headers", f"with {EDGES} select source, edge, key, line, n_exact, n_fuzzy, round(share, 6) as share from h")
+def noisy_running_headers(t: Tables) -> DataFrame:
+    """AGG-19, TXT-08. First and last lines of documents that most often recur in their source, within two edits."""
+    found = H.clusters(_edges(t), ["source", "edge"], 0.02)
+    return found.select("source", "edge", "key", "line", "n_exact", "n_fuzzy", F.round("share", 6).alias("share"))
+
+
+@query("dropped_edge_lines", f"""
+with {EDGES} select k.doc_id, k.source, k.edge, k.line from k join h on k.source = h.source and k.edge = h.edge
+where length(k.line) between 3 and 120 and levenshtein(k.key, h.key) <= 2 and not regexp_matches(k.line, '^\\s*\\d+(\\.\\d+)*\\.?\\s+.+')
+""")
+def dropped_edge_lines(t: Tables) -> DataFrame:
+    """AGG-19. Lines at the edges of documents that are their source's running header or footer."""
+    lines = _edges(t)
+    return H.dropped_edges(lines, H.clusters(lines, ["source", "edge"], 0.02), ["source", "edge"]).select("doc_id", "source", "edge", "line")
