@@ -51,8 +51,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least doc_id, of each group of near-duplicates: texts with a Jaccard
-    similarity of at least 0.8 over five-word shingles, directly or by way of others. Texts without a word are
-    one group, of repeated rows one stays, and rows with null doc_id all stay."""
+    similarity of at least 0.8 over five-word shingles, directly or by way of others. Found by SimHash blocks, the Hamming
+    check of the fingerprints, an exact check and components, as `near_texts` says. Texts without a word are one group, of repeated rows one stays, and rows with null doc_id all stay."""
     ship(spark)
     return keep_one(docs)
 

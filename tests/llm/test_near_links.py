@@ -113,3 +113,63 @@ def test_rare_shingles_are_shared(spark):
     for (i, a), (j, b) in zip(sets[::2], sets[1::2]):
         a, b = set(a), set(b)
         assert 5 * len(a & b) < 4 * len(a | b) or found[i] & found[j]
+
+
+def blocks_and_bits(a, b):
+    """Blocks and bits in which two sets of hashes differ at the least, of the steps that they share; None without one."""
+    one, two = ({f["step"]: f["blocks"] for f in near_texts.fingerprints_of(x)} for x in (a, b))
+    found = []
+    for step in one.keys() & two.keys():
+        pairs = list(zip(one[step], two[step], strict=True))
+        bits = sum((((p or 0) ^ (q or 0)) & (1 << 64) - 1).bit_count() for p, q in pairs)
+        found.append((sum(p != q for p, q in pairs), bits, 64 * len(pairs)))
+    return min(found, default=None)
+
+
+def near_enough(a, b):
+    found = blocks_and_bits(a, b)
+    n = min(len(a), len(b))
+    return found is not None and 4 * found[0] <= n and (n < 4 * near_texts.CLASSES or found[1] <= near_texts.FAR * found[2])
+
+
+def test_hamming_check_keeps_all_pairs_of_the_similarity(spark):
+    """Pairs at 0.8 or just above, with all changes on one side or on both, from 1 to 1,500 shingles; and far ones that go."""
+    rng = np.random.default_rng(9)
+    rows, near, far = [], set(), set()
+    for k in range(1500):
+        n = int(rng.integers(1, 80)) if k % 3 else int(rng.integers(80, 1500))
+        shared = rng.integers(0, 1 << 64, n, np.uint64)
+        extra = int(rng.integers(0, n // 4 + 1))
+        a = np.unique(np.append(shared, rng.integers(0, 1 << 64, extra, np.uint64)))
+        b = np.unique(np.append(shared, rng.integers(0, 1 << 64, n // 4 - extra, np.uint64)))
+        other = np.unique(np.append(shared[: n // 8], rng.integers(0, 1 << 64, n - n // 8, np.uint64)))
+        rows += [(3 * k + i, len(x), near_texts.fingerprints_of(x)) for i, x in enumerate((a, b, other))]
+        near.add((3 * k + 1, 3 * k))
+        if not near_enough(a, other):
+            far.add((3 * k + 2, 3 * k))
+    nodes = spark.createDataFrame(rows, "id long, n_shingles int, prints array<struct<step:int,sparse:boolean,blocks:array<long>>>")
+    pairs = nodes.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") - 1, F.col("id") - 2)).alias("b")).where("a % 3 > 0 and b % 3 = 0 and floor(a / 3) = floor(b / 3)")
+    found = {tuple(r) for r in near_texts.close(pairs, nodes, 0.8).collect()}
+    assert near <= found and not far & found and len(far) > 1400
+
+
+@pytest.mark.parametrize("crowd", [20, 150])
+def test_only_pairs_of_near_fingerprints_are_compared(spark, monkeypatch, crowd):
+    """Texts behind a common opening meet in blocks (20 texts) or by rare shingles (150); the exact check sees only those whose
+    fingerprints are near."""
+    rng = random.Random(crowd)
+    opening = [word(rng) for _ in range(40)]
+    texts = []
+    for _ in range(crowd // 2):
+        t = opening + [word(rng) for _ in range(60)]
+        texts += [" ".join(t), " ".join([*t[:-1], word(rng)])]
+    seen, linked = [], near_texts._linked
+
+    def spy(pairs, sets, similarity):
+        hashes = {r.id: np.array(r.hashes, np.int64).view(np.uint64) for r in sets.collect()}
+        seen.extend((np.sort(hashes[r.a]), np.sort(hashes[r.b])) for r in pairs.collect())
+        return linked(pairs, sets, similarity)
+
+    monkeypatch.setattr(near_texts, "_linked", spy)
+    assert kept(spark, texts) == brute_force(texts)
+    assert seen and all(near_enough(a, b) for a, b in seen)
