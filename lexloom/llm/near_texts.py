@@ -40,8 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, save
-from .ranks import small
-from .simhash import BUCKET, components, shingle_hashes
+from .ranks import BROADCAST_ROWS, small
+from .simhash import BUCKET, LEAST_HOT, SHARE, components, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 CLASSES = 16
@@ -229,6 +229,17 @@ def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.select("id", "hashes").mapInArrow(first, "id long, hash long, place int, n int, central double")
 
 
+def _in_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """`rows`, a saved table, with the row of `groups` of their hash, without those that have none. More groups than can be
+    broadcast join by the hash, but for those of more than 1 / SHARE of the rows, of which there are fewer than SHARE."""
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), "hash")
+    most = max(LEAST_HOT, rows.count() // SHARE)
+    hot = F.broadcast(groups.where(F.col("size") > most))
+    others = rows.join(hot, "hash", "left_anti").join(groups.where(F.col("size") <= most), "hash")
+    return rows.join(hot, "hash").unionByName(others)
+
+
 def _crowded_links(sets: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Links of sets that share rare shingles, the finest blocks. `known` are links found elsewhere. Sets that are joined by
     others needn't have their own link, so the components are those of all links."""
@@ -237,7 +248,7 @@ def _crowded_links(sets: DataFrame, nodes: DataFrame, known: DataFrame, similari
     groups = save(rare.groupBy("hash").agg(F.count("*").alias("size"), first.alias("first")).where("size > 1"), "groups")
     pairs = _pairs(rare.join(groups.where(F.col("size") <= RARE_BUCKET).select("hash"), "hash"), ["hash"])
     large = groups.where(F.col("size") > RARE_BUCKET)
-    members = save(rare.join(small(large), "hash").select("hash", "id", "place", "n", "first"), "members")
+    members = save(_in_groups(rare, large).select("hash", "id", "place", "n", "first"), "members")
     stars = members.select("id", F.col("first").alias("other")).where("id <> other")
     pairs = pairs.union(stars.select(F.greatest("id", "other"), F.least("id", "other"))).distinct()
     links = _linked(close(pairs, nodes, similarity), sets, similarity)

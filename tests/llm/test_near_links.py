@@ -173,3 +173,14 @@ def test_only_pairs_of_near_fingerprints_are_compared(spark, monkeypatch, crowd)
     monkeypatch.setattr(near_texts, "_linked", spy)
     assert kept(spark, texts) == brute_force(texts)
     assert seen and all(near_enough(a, b) for a, b in seen)
+
+
+@pytest.mark.parametrize("share", [4096, 4])
+def test_more_groups_than_are_broadcast(spark, monkeypatch, share):
+    monkeypatch.setattr(near_texts, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near_texts, "SHARE", share)
+    rng = random.Random(share)
+    words = [word(rng) for _ in range(80)]
+    texts = [" ".join([*words, word(rng)]) for _ in range(90)] + [" ".join([*words[:20], *(word(rng) for _ in range(60))]) for _ in range(20)]
+    rng.shuffle(texts)
+    assert kept(spark, texts) == brute_force(texts)
