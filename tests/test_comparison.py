@@ -50,8 +50,34 @@ def test_diffs_in_one_pass(contracts):
     assert exchanges(got) == 1  # that of the documents
 
 
-@pytest.mark.parametrize(("name", "most"), [("contract_diff", 4), ("contract_diff_counters", 4)])
+@pytest.mark.parametrize(("name", "most"), [("contract_diff", 4), ("contract_diff_counters", 4), ("comparable_units", 4), ("contract_articles_mapped", 4), ("contract_categories", 4), ("contract_evidence", 8)])
 def test_few_exchanges(spark, name, most):
     before = staged_so_far(spark)
     found = __spark_entry__.queries()[name](spark, FOLDER)
     assert exchanges(found) <= most and staged_so_far(spark) == before
+
+
+def test_categories_by_row(spark):
+    """In one row as by the joins of match_rules() and assign_categories()."""
+    from lexloom.operators.taxonomy import RULES, TIE_BREAK
+
+    texts = ("Payment terms", "limitation of liability and late payment penalty", "", "the warranty may terminate early", "Bảo mật thông tin", "payment of a fee", "nothing")
+    rows = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i long, j long, title string, body string")
+    fields = {"title": F.col("title"), "parent": F.col("body"), "body": F.concat_ws(" ", "title", "body")}
+    want = K.assign_categories(K.match_rules(rows, ["i", "j"], fields, RULES), rows, ["i", "j"], list(TIE_BREAK))
+    got = K.categorized(rows, ["i", "j"], {n: K.matched_rules(K.folded(c), RULES) for n, c in fields.items()}, RULES, list(TIE_BREAK))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_own_evidence(contracts):
+    """As by the joins of bind_evidence() and evidence_reasons(), also of units whose number is there twice."""
+    units = K.units_of(markdown_lines(contracts, ["pair", "side"]), ["pair", "side"])
+    diffs = K.exact_diffs(units, "pair", "side", ["start_line", "end_line"]).where("classification <> 'UNCHANGED'")
+    side = F.when(F.col("side") == 0, "OLD").otherwise("NEW").alias("side")
+    catalogue = units.select("pair", side, "identity_key", "order_index", "start_line", "end_line", F.col("title").alias("text"))
+    lines = contracts.select("pair", side, "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    want = K.evidence_reasons(K.bind_evidence(diffs, catalogue, "pair"), lines, "pair")
+    texts = contracts.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col("text"))).alias(n) for s, n in ((0, "old"), (1, "new"))])
+    got = K.own_evidence(diffs, texts, "pair")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {"place", "identity"} == {r.bound_by for r in got.collect()}
