@@ -103,3 +103,20 @@ def test_contained_passages_by_brute_force(spark):
     frame = spark.createDataFrame
     found = containing.places(frame(texts, "doc_id long, text string"), frame(passages, "item_id long, passage string"), "doc_id", "text", "item_id", "passage")
     assert {(r.item_id, r.doc_id, r.start) for r in found.collect()} == expected
+
+
+def test_clauses_in_tasks_equal_joins(spark, monkeypatch):
+    """The three clauses scored in tasks, in small parts, and by joins: phrases, repeats, empty and null texts, no match, equal texts."""
+    rng = random.Random(5)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)] + ["a", "be"]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 3, 30, 90])))) for i in range(300)] + [(900, None), (901, "a be a be a be"), (902, "a be a be a be"), (903, "a be a be a be")]
+    asked = [(q, " ".join(docs[q * 7][1].split()[:3]) if q % 2 else " ".join(rng.choices(vocabulary, k=4))) for q in range(40)] + [(98, "a be a"), (99, "nothinglikeit"), (100, "")]
+    documents = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id long, query_text string")
+    find = lambda: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in search.clause_search(documents, questions, "doc_id", "text", 7).collect())
+    monkeypatch.setattr(search, "CELLS", 500)
+    monkeypatch.setattr(search, "POOL", 100)
+    got = find()
+    monkeypatch.setattr(search, "MOST_WEIGHTS", 0)
+    monkeypatch.setattr(search, "MOST_TERMS", 0)
+    assert got == find() and [r[2] for r in got if r[0] == 98][:3] == [901, 902, 903]
