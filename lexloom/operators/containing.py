@@ -17,6 +17,8 @@ from ..sources.sinks import staged
 CLASSES = ((32, 16, 17), (8, 4, 5))
 #: Places and passages that are broadcast to the texts at most, counted before.
 BROADCAST_ROWS = 1 << 17
+#: Anchors after which a task hands them on.
+HELD_ANCHORS = 1 << 18
 ANCHORS = "gram int, hash long, at long"
 
 
@@ -49,16 +51,24 @@ def anchors(text: str, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(kinds: list[tuple[int, int]] | None):
     """Anchors of each text in all of `kinds`, or in the kind of its own length; key, gram, hash, at."""
 
+    def out(keys, lists):
+        rows, grams, hashes, at = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in lists)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(grams.astype(np.int32)), pa.array(hashes), pa.array(at)], ["key", "gram", "hash", "at"])
+
     def run(batches):
         for batch in batches:
-            keys, lists = batch.column("key"), [[], [], [], []]
-            for row, text in enumerate(batch.column("text").to_pylist()):
+            keys, texts, lists, held = batch.column("key"), batch.column("text"), [[], [], [], []], 0
+            for row in range(len(texts)):
+                text = texts[row].as_py()
                 for gram, window in kinds if kinds is not None else [class_of(len(text))]:
                     hashes, at = anchors(text, gram, window)
                     for column, values in zip(lists, (np.full(len(at), row), np.full(len(at), gram), hashes, at)):
                         column.append(values)
-            rows, grams, hashes, at = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in lists)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(grams.astype(np.int32)), pa.array(hashes), pa.array(at)], ["key", "gram", "hash", "at"])
+                    held += len(at)
+                    if held > HELD_ANCHORS:  # a batch of texts has many times its size of anchors
+                        yield out(keys, lists)
+                        lists, held = [[], [], [], []], 0
+            yield out(keys, lists)
 
     return run
 

@@ -3,6 +3,11 @@ places are mapped back to the text as it is."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,9 @@ from .containing import places
 
 #: Least lengths in normal form of a snippet and of a block (fixed values).
 LEAST_SNIPPET, LEAST_BLOCK = 8, 12
+#: Code points of a text times its blocks up to which one task walks through them; larger texts go by joins of all places.
+WALKED = 1 << 32
+BLANKS, HEADING = re.compile(r"[ \t\n\x0b\f\r\xa0]+"), re.compile(r"#{1,6}\s+\S", re.ASCII)
 
 
 def normal_form(text: Column) -> Column:
@@ -75,8 +83,104 @@ def block_spans(texts: DataFrame, blocks: DataFrame, key: str, text: str, order:
     A block is looked for after the end of the last one that was found: word for word, then as a heading line's title, then
     in normal form; then again from the beginning, which moves the cursor back. Blocks that are nowhere have nulls. Every place of
     every block knows its successor, the place that is chosen for the next block from there; the places on the
-    path from the beginning are marked by doubling these pointers, so rounds grow with the logarithm of the blocks.
+    path from the beginning are marked by doubling these pointers, so rounds grow with the logarithm of the blocks. That is for
+    texts whose length times blocks exceeds WALKED; all others are walked through in tasks, a text with its blocks at once.
     """
+    sizes = blocks.groupBy(F.col(key).alias("doc")).agg(F.count("*").alias("n")).join(texts.select(F.col(key).alias("doc"), F.length(text).alias("length")), "doc")
+    large = staged(sizes.where(F.col("n") * F.coalesce("length", F.lit(0)).cast("double") > WALKED).select(F.col("doc").alias(key)).distinct(), "large_texts")
+    if not large.first():
+        return _walked(texts, blocks, key, text, order, block)
+    small = _walked(*[df.join(large, key, "left_anti") for df in (texts, blocks)], key, text, order, block)
+    return small.unionByName(_by_joins(*[df.join(large, key, "left_semi") for df in (texts, blocks)], key, text, order, block))
+
+
+def _titles(text: Column) -> Column:
+    """Normal forms of the titles of a text's heading lines, in order."""
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"^#{1,6}\s+\S"))
+    return F.transform(lines, lambda line: normal_form(F.regexp_replace(line, r"^#{1,6}\s+", "")))
+
+
+def _walk(text: str, hay: str, titles: list[str], blocks) -> list[tuple[int | None, int | None]]:
+    """Start and end of each block (needle, normal form) in a text whose normal form and headings' titles are given."""
+    raw, at, p = [], [], 0  # where words begin, in the text and in normal form
+    ends = []
+    begin = 0
+    for gap in BLANKS.finditer(text):
+        if gap.start() > begin:
+            raw.append(begin)
+            at.append(p)
+            p += gap.start() - begin + 1
+            ends.append(gap.start())
+        begin = gap.end()
+    if begin < len(text):
+        raw.append(begin)
+        at.append(p)
+        ends.append(len(text))
+    headings: dict[str, list[tuple[int, int]]] = {}
+    if titles:
+        begin, named = 0, iter(titles)
+        for line in text.split("\n"):
+            if HEADING.match(line):
+                headings.setdefault(next(named), []).append((begin, begin + len(line.rstrip(" "))))
+            begin += len(line) + 1
+
+    def normal(cursor: int) -> int:
+        j = bisect_right(raw, cursor) - 1
+        return 0 if j < 0 else at[j] + min(cursor - raw[j], ends[j] - raw[j] + 1)
+
+    def place(p: int) -> int:
+        j = bisect_right(at, p) - 1
+        return raw[j] + p - at[j]
+
+    found, cursor, nowhere = [], 0, set()
+    for needle, form in blocks:
+        spot = None
+        if needle not in nowhere:
+            spots = headings.get(form, []) if form else []
+            for since in (cursor, 0):
+                if needle and (i := text.find(needle, since)) >= 0:
+                    spot = i, i + len(needle)
+                elif spots and (i := bisect_left(spots, (since, -1))) < len(spots):
+                    spot = spots[i]
+                elif len(form) >= LEAST_BLOCK and (i := hay.find(form, normal(since))) >= 0:
+                    spot = place(i), place(i + len(form) - 1) + 1
+                if spot or not since:
+                    break
+            if not spot:
+                nowhere.add(needle)
+        found.append(spot or (None, None))
+        cursor = spot[1] if spot else cursor
+    return found
+
+
+def _walked(texts: DataFrame, blocks: DataFrame, key: str, text: str, order: str, block: str) -> DataFrame:
+    """block_spans() where a text and its blocks are one row."""
+    needle = F.btrim(F.col(block), F.lit(" \t\r\n"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.coalesce(needle, F.lit("")).alias("needle"))))
+    body = F.coalesce(F.col(text), F.lit(""))
+    hay = texts.select(F.col(key).alias("doc"), body.alias("text"))
+    rows = blocks.groupBy(F.col(key).alias("doc")).agg(listed.alias("blocks")).join(hay, "doc", "left").select(
+        "doc", F.col("blocks.k").alias("k"), F.coalesce("text", F.lit("")).alias("text"), normal_form(F.col("text")).alias("hay"), F.col("blocks.needle").alias("needles"),
+        F.transform("blocks.needle", normal_form).alias("forms"), F.when(F.col("text").contains("#"), _titles(F.col("text"))).alias("titles"),
+    )
+    kind = dict(rows.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            k, spans = batch.column("k"), []
+            for row in range(len(batch)):
+                text, hay, needles, forms, titles = (batch.column(c)[row].as_py() for c in ("text", "hay", "needles", "forms", "titles"))
+                spans.extend(_walk(text, hay, titles or [], zip(needles, forms)))
+            starts, ends = (pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1))
+            docs = batch.column("doc").take(pc.list_parent_indices(k))
+            yield pa.RecordBatch.from_arrays([docs, k.flatten(), starts, ends], ["doc", "k", "start", "end"])
+
+    found = rows.mapInArrow(run, f"doc {kind['doc']}, k {kind['k'][6:-1]}, start long, end long")
+    return found.select(F.col("doc").alias(key), F.col("k").alias(order), "start", "end")
+
+
+def _by_joins(texts: DataFrame, blocks: DataFrame, key: str, text: str, order: str, block: str) -> DataFrame:
+    """block_spans() where any text may be of any size."""
     item = F.struct(F.col(key).alias("doc"), F.col(order).alias("k")).alias("item")
     named = staged(blocks.select(item, F.col(block).alias("block")), "blocks")
     every = _places(texts, named, key, text, "item", "block", LEAST_BLOCK, "doc").select(F.col("item.doc").alias("doc"), F.col("item.k").alias("k"), "tier", "start", "end")
@@ -111,4 +215,4 @@ def block_spans(texts: DataFrame, blocks: DataFrame, key: str, text: str, order:
         jumps = staged(twice.select("doc", "n", "of", F.col("next_n").alias("to_n"), F.col("next").alias("to")), "jumps")
         release(old_marked, old_jumps)
     found = marked.join(numbered, ["doc", "n"]).select(F.struct("doc", "k").alias("item"), "of")
-    return named.join(found, "item", "left").select(F.col("item.doc").alias(key), F.col("item.k").alias(order), "of.start", "of.end")
+    return named.join(found, "item", "left").select(F.col("item.doc").alias(key), F.col("item.k").alias(order), F.col("of.start").cast("long").alias("start"), F.col("of.end").cast("long").alias("end"))

@@ -76,3 +76,28 @@ def test_snippet_spans_map_back(spark):
     for i, (snippet, raw) in enumerate(cases.items()):
         assert (found[i] and text[found[i].start : found[i].end] if i in found else None) == raw, snippet
     assert found[0].confidence == "exact" and found[1].confidence == "normalized"
+
+
+def test_block_spans_by_joins_equal_walks(spark, monkeypatch):
+    """Texts over the limit go by joins, with the same places; one text above and others below it."""
+    rng = random.Random(8)
+    cases = [made(rng) for _ in range(6)]
+    texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(99, None)], "doc_id long, text string")
+    blocks = spark.createDataFrame([(i, k, b) for i, (_, own) in enumerate(cases) for k, b in enumerate(own)] + [(77, 0, "of no text at all"), (99, 3, "of a null text")], "doc_id long, k long, block string")
+    find = lambda: sorted(map(str, locate.block_spans(texts, blocks, "doc_id", "text", "k", "block").collect()))
+    walked = find()
+    monkeypatch.setattr(locate, "WALKED", 25 * sorted(len(t) for t, _ in cases)[2])
+    assert find() == walked and len(walked) == 152
+
+
+def test_anchors_are_handed_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from lexloom.operators import containing
+
+    monkeypatch.setattr(containing, "HELD_ANCHORS", 50)
+    texts = ["some words of a text " * 9, "", "another text"]
+    batch = pa.RecordBatch.from_pydict({"key": [5, 6, 7], "text": texts})
+    parts = list(containing._anchors([(3, 1), (4, 5)])([batch]))
+    assert len(parts) > 1 and max(len(p) for p in parts) < 400
+    assert sum(len(p) for p in parts) == sum(len(containing.anchors(t, *kind)[0]) for t in texts for kind in ((3, 1), (4, 5)))
