@@ -120,3 +120,40 @@ def test_categories_of_folded_text(spark):
         hits = {(r.id, r.category) for r in K.match_rules(rows, ["id"], {layer: F.col("t")}, RULES).collect()}
         assert {i for i, c in hits if c == "LIABILITY"} == {0, 1, 2, 3}, layer
         assert not {i for i, _ in hits} & {4, 5}
+
+
+@pytest.mark.parametrize("most", [0, 99, 1 << 20])
+def test_matchings_in_tasks_and_by_rounds(spark, monkeypatch, most):
+    """Groups above the limit go by rounds and smaller ones through tasks, with equal results; without large groups nothing but the edges is written."""
+    from lexloom.sources.sinks import staged_so_far
+
+    rows = edges_of(5) + [("z", s, t, 0.5) for s in range(6) for t in range(5)]
+    for operator in (matching.best_first, matching.in_order):
+        monkeypatch.setattr(matching, "MOST_EDGES", 1 << 20)
+        before = staged_so_far(spark)
+        want = operator(as_frame(spark, rows), ["g"], 0.28).collect()
+        assert staged_so_far(spark) - before == 2
+        monkeypatch.setattr(matching, "MOST_EDGES", most)
+        assert sorted(map(tuple, operator(as_frame(spark, rows), ["g"], 0.28).select("g", "source", "target", "score").collect())) == sorted((r.g, r.source, r.target, r.score) for r in want)
+
+
+def test_candidates_by_brute_force(spark):
+    """Windows of places with gaps, of clauses that are on one side only; no clause is sent more than once."""
+    from lexloom.operators import mapping
+
+    rng = random.Random(6)
+    made = lambda: [(p, place, " ".join(rng.choices("abcde", k=rng.randrange(5)))) for p in range(4) for place in sorted(rng.sample(range(40), 20)) if p != 3]
+    old, new = made(), [*made(), (9, 1, "a")]
+    a, b = (spark.createDataFrame(rows, "pair long, place long, body string") for rows in (old, new))
+    expected = set()
+    for p, s, x in old:
+        near = []
+        for q, t, y in new:
+            if p == q and abs(s - t) <= 4:
+                u, v = set(x.split()), set(y.split())
+                near.append((-round(len(u & v) / len(u | v), 6) if u | v else -0.0, abs(s - t), t))
+        expected |= {(p, s, t, -score) for score, _, t in sorted(near)[:3]}
+    found = mapping.candidates(a, b, "pair", most=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Exchange") for line in plan.split("\n")) == 1
+    assert {(r.pair, r.source, r.target, r.score) for r in found.collect()} == expected
