@@ -159,6 +159,33 @@ def value_changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     met = best_first(edges, ["of"], LEAST_ALIGNMENT).select("of", "source", "target")
     left = a.withColumn("source", F.col("old.start")).drop("t").join(met, ["of", "source"], "left")
     rows = left.join(b.withColumn("target", F.col("new.start")).drop("t"), ["of", "target"], "full_outer")
+    return _described(rows.select(*[F.col(f"of.{k}").alias(k) for k in key], "old", "new"), key)
+
+
+def repeats_type(text: Column) -> Column:
+    """Whether a text may have two values of one type."""
+    types = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(VALUE), F.lit(0)), _kind)
+    return F.size(types) > F.size(F.array_distinct(types))
+
+
+def single_value_changes(rows: DataFrame, key: list[str], old: str, new: str) -> DataFrame:
+    """As value_changes() of the typed_values() of two text columns, where no text has two values of one type (not repeats_type()):
+    rows are dealt by key once, and the values of a type are neighbours in one sort."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in enumerate((old, new))])
+    each = rows.repartition(*key).select(*key, F.explode(sides).alias("s")).select(*key, "s.side", "s.text")
+    values = typed_values(each, [*key, "side"], "text")
+    me = F.struct(*[c for c in values.columns if c not in (*key, "side")]).alias("v")
+    own = Window.partitionBy(*key, "type").orderBy("side")
+    values = values.select(*key, "type", "side", me).select("*", F.lead("v").over(own).alias("new"), F.lag("v").over(own).alias("before"))
+    values = values.where("side = 0 or before is null").select(*key, F.when(F.col("side") == 0, F.col("v")).alias("old"), F.when(F.col("side") == 0, F.col("new")).otherwise(F.col("v")).alias("new"))
+    apart = F.col("old").isNotNull() & F.col("new").isNotNull() & ~F.coalesce(alignment_score("old", "new") >= LEAST_ALIGNMENT, F.lit(False))
+    pair = lambda a, b: F.struct(a.alias("old"), b.alias("new"))
+    none = F.when(F.lit(False), F.col("old"))
+    met = F.explode(F.when(apart, F.array(pair(F.col("old"), none), pair(none, F.col("new")))).otherwise(F.array(pair(F.col("old"), F.col("new"))))).alias("m")
+    return _described(values.select(*key, met).select(*key, "m.old", "m.new"), key)
+
+
+def _described(rows: DataFrame, key: list[str]) -> DataFrame:
     x, y = (lambda n: F.col(f"old.{n}")), (lambda n: F.col(f"new.{n}"))
     kind = F.coalesce(x("type"), y("type"))
     number = lambda v: F.when(v("type") != "DURATION", v("number")).when(v("unit") == "YEAR", v("number") * 12).when(v("unit").isin("MONTH", "DAY"), v("number"))
@@ -185,6 +212,6 @@ def value_changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     relative = F.when((change == "REPLACED") & (kind != "DATE") & (number(x) != 0), F.round(delta * 100 / number(x), 4))
     review = (change == "REPLACED") & kind.isin("MONEY", "DURATION", "QUANTITY", "PERCENTAGE") & ~measured & ~other_money
     return rows.where(~equal).select(
-        *[F.col(f"of.{k}").alias(k) for k in key], kind.alias("type"), change.alias("change"), direction.alias("direction"), delta.alias("delta"), relative.alias("relative"), unit.alias("delta_unit"),
+        *key, kind.alias("type"), change.alias("change"), direction.alias("direction"), delta.alias("delta"), relative.alias("relative"), unit.alias("delta_unit"),
         other_money.alias("currency_changed"), review.alias("needs_review"), "old", "new",
     )

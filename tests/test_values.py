@@ -157,3 +157,29 @@ def test_candidates_by_brute_force(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert sum(line.lstrip(" :+-").startswith("Exchange") for line in plan.split("\n")) == 1
     assert {(r.pair, r.source, r.target, r.score) for r in found.collect()} == expected
+
+
+def test_single_value_changes_equal_the_matching(spark):
+    """Texts without two values of one type: by neighbours as by the choice among values, also where values don't align or one side lacks them."""
+    from lexloom.operators import values as V
+
+    texts = ["pay 100 usd within 7 days", "pay 120 usd within 7 days at 5 percent", "", None, "5 %", "the long lead of words before it says 3 months after", "at most 12 years", "công ty ABC Viet at hà nội", "2024-01-05", "on 06/02/2025 nothing", "300 units"]
+    rows = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i long, j long, a string, b string")
+    assert rows.where(V.repeats_type(F.col("a"))).count() == 0
+    assert spark.createDataFrame([("1 day or 2 days",), ("1 day, 2 usd",)], "a string").where(V.repeats_type(F.col("a"))).count() == 1
+    want = V.value_changes(V.typed_values(rows, ["i", "j"], "a"), V.typed_values(rows, ["i", "j"], "b"), ["i", "j"])
+    got = V.single_value_changes(rows, ["i", "j"], "a", "b")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Exchange") for line in plan.split("\n")) == 1
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 50
+
+
+def test_exact_changes_of_contested_and_other_units(spark):
+    from lexloom.operators import comparison as K
+
+    unit = lambda body: F.struct(F.lit("CLAUSE:1.1").alias("identity_key"), body.alias("body"))
+    bodies = [("pay 5 usd", "pay 7 usd"), ("1 day then 2 days", "1 day then 3 days"), ("2 days", "1 day or 4 days")]
+    diffs = spark.createDataFrame([(i, 0, 0, "MODIFIED", a, b) for i, (a, b) in enumerate(bodies)], "pair long, source long, target long, classification string, x string, y string")
+    found = K.exact_changes(diffs.select("pair", "source", "target", "classification", unit(F.col("x")).alias("a"), unit(F.col("y")).alias("b")), "pair").collect()
+    assert {(r.pair, r.identity_key, r.delta) for r in found if r.change == "REPLACED"} >= {(0, "CLAUSE:1.1", 2.0), (1, "CLAUSE:1.1", 1.0)}
+    assert {r.pair for r in found} == {0, 1, 2}
